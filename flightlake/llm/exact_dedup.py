@@ -80,6 +80,6 @@ def exact_groups(docs: DataFrame, fan_in: int = 16) -> DataFrame:
 def keep_unique(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, all columns unchanged; of repeated rows with one id and text one stays."""
     key = lambda doc_id, digest: F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), digest)
-    stay = exact_groups(docs).filter("kept").select(key(F.col("doc_id"), F.col("text_sha256")).alias("_key"))
-    own = docs.withColumn("_key", key(F.col("doc_id"), F.sha2(normalised(text_of()), 256)))
-    return own.join(stay, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    stay = exact_groups(docs).filter("kept").select(key(F.col("doc_id"), F.col("text_sha256")).alias("_flightlake_key"))
+    own = docs.withColumn("_flightlake_key", key(F.col("doc_id"), F.sha2(normalised(text_of()), 256)))
+    return own.join(stay, "_flightlake_key", "left_semi").dropDuplicates(["_flightlake_key"]).select(*docs.columns)
