@@ -26,7 +26,7 @@ NONE = "und"
 #: Texts whose vectors are formed together, and the code points that such a batch may hold.
 BATCH_TEXTS, BATCH_CHARS = 64, 1_000_000
 #: Texts below this cosine are no language that was learned.
-MIN_SCORE = 0.15
+MIN_SCORE = 0.06
 
 _GAP = re.compile(r"[\W\d_]+")
 
