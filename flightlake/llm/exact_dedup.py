@@ -15,6 +15,9 @@ verdict goes back to the salts by a join on ids; no text is joined.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,12 +63,9 @@ def exact_groups(docs: DataFrame, fan_in: int = 16) -> DataFrame:
         .select("digest", "top", "group_size", F.col("of.salt").alias("salt"), F.col("of.shorter").alias("shorter"), F.col("of.id").alias("id"))
     )
     a, b = salted.alias("a"), winners.alias("b")
-    same = (
-        (F.col("a.digest") == F.col("b.digest"))
-        & (F.col("a.salt") == F.col("b.salt"))
-        & (F.col("a.best.shorter") == F.col("b.shorter"))
-        & F.col("a.best.id").eqNullSafe(F.col("b.id"))
-    )
+    # Null-safe throughout: filters that Catalyst would infer for one side only cost the reuse.
+    same = [("a.digest", "b.digest"), ("a.salt", "b.salt"), ("a.best.shorter", "b.shorter"), ("a.best.id", "b.id")]
+    same = reduce(and_, [F.col(x).eqNullSafe(F.col(y)) for x, y in same])
     return a.join(b, same).select(
         F.posexplode("a.members").alias("at", "member"), "b.top", "b.group_size", F.col("a.salt").alias("salt"), F.col("a.digest").alias("text_sha256")
     ).select(
