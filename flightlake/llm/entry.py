@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightlake.llm import exact_dedup, lang_id, line_dedup, packing, pii, simhash
+from flightlake.llm import bpe, exact_dedup, fingerprints, lang_id, line_dedup, packing, pii, simhash, toxicity, warc
 from flightlake.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op2_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -37,8 +41,22 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_lang_id, op4_packing, op5_simhash, op6_pii, op7_exact_dedup)}
+    every = (op1_line_dedup, op2_lang_id, op3_fingerprints, op4_packing, op5_simhash, op6_pii, op7_exact_dedup, op8_bpe, op9_toxicity, op10_warc)
+    return {f.__name__: f for f in every}
 
 
 _WS = r"[\x20\x09-\x0D]"
@@ -70,6 +88,18 @@ ORACLE: dict[str, str] = {
         )
         SELECT doc_id, keep_id, group_size::BIGINT AS group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256 FROM g
     """,
+    "op10_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        h AS (SELECT page_id, strlen(html)::BIGINT AS n, sha1(html) AS hex, min(page_id) OVER (PARTITION BY html) AS first FROM p),
+        d AS (
+            SELECT page_id, list_aggregate(list_transform(range(0, 32), lambda i: substr(
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                1 + ((('0x' || substr(hex, 1 + 5 * (i // 4)::INT, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31)::INT, 1)), 'string_agg', '') AS digest FROM h
+        )
+        SELECT h.page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN first = h.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN first <> h.page_id THEN first END AS refers_to
+        FROM h JOIN d USING (page_id)
+    """,
 }
 
 

@@ -148,9 +148,13 @@ def links(unique: DataFrame, hot_block: int = HOT_BLOCK) -> DataFrame:
     found = None
     while True:
         blocks = written(blocks.withColumn("key", F.col("fp").bitwiseAND(F.col("mask"))), "blocks")
-        finer = {m: f for m in masks if (f := [x for x in finer_masks(m) if x != m])}
-        hot = written(blocks.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_block).select("mask", "key"), "hot")
-        last = hot.isEmpty() or not finer
+        # A block that leaves r bits open has at most 2^r different fingerprints: small enough blocks are never cut.
+        cut = [_signed(m) for m in masks if 1 << (64 - m.bit_count()) > hot_block]
+        many = blocks.filter(F.col("mask").isin(cut)).groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_block)
+        hot = written(many.select("mask", "key"), "hot")
+        # Only the masks come here, at most as many as there are choices of bits.
+        finer = {m: finer_masks(m) for m in (r["mask"] % (1 << 64) for r in hot.select("mask").distinct().collect())}
+        last = not finer
         cold = blocks if last else blocks.join(hot, ["mask", "key"], "left_anti")
         sets = cold.select("mask", "key", "fp", "node").repartition("mask", "key").sortWithinPartitions("mask", "key", "fp")
         part = sets.mapInArrow(_links, "src long, dst long")
