@@ -2,7 +2,8 @@
 
 The leaves of the tree are the ranks of adjacent pairs; the root yields the leftmost pair
 of the lowest rank. A merge rewrites three leaves and their paths to the root, so a run of
-n bytes takes O(n log n), whatever its content.
+n bytes takes O(n log n), whatever its content. A node has ``FAN_OUT`` children, so that
+the tree of a common word is little more than its root.
 """
 
 from __future__ import annotations
@@ -22,7 +23,13 @@ from flightlake.llm.common import map_rows, text_of
 #: Fixed value: the pattern that byte-level vocabularies split text by.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CACHE_RUNS = 300_000
-_NONE = 1 << 60
+#: Children of a node of the tree.
+FAN_OUT = 16
+#: Bits of a place in a run, and of an id.
+_SHIFT = 32
+_PLACE = (1 << _SHIFT) - 1
+#: Above every rank with a place.
+_NONE = 1 << 61
 
 
 def byte_symbols() -> list[str]:
@@ -47,10 +54,13 @@ class Codec(dict):
             spec = json.load(f)
         vocab, symbols = spec["model"]["vocab"], byte_symbols()
         self.of_byte = [vocab[s] for s in symbols]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        #: The rank of a pair of ids, shifted to leave room for a place, and the id that each rank makes.
+        self.ranks: dict[int, int] = {}
+        self.made: list[int] = []
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
+            self.ranks[vocab[a] << _SHIFT | vocab[b]] = rank << _SHIFT
+            self.made.append(vocab[a + b])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         back = {s: b for b, s in enumerate(symbols)}
         self.bytes_of = {i: bytes(back[c] for c in token) for token, i in vocab.items()}
@@ -59,48 +69,42 @@ class Codec(dict):
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else lambda text: [text]
 
     def merge(self, data: bytes) -> list[int]:
-        """Ids of one run: merges the leftmost pair of the lowest rank until no pair can be merged."""
+        """Ids of one run: merges the leftmost pair of the lowest rank until no pair can be merged.
+
+        A leaf is its pair's rank above its place, so the root's value tells where to merge.
+        """
         ids = [self.of_byte[b] for b in data]
         n = len(ids)
         if n < 2:
             return ids
-        merges = self.merges
-        width = 1 << (n - 2).bit_length() if n > 2 else 1
-        tree = [_NONE] * (2 * width)
-        for i in range(n - 1):
-            if (m := merges.get((ids[i], ids[i + 1]))) is not None:
-                tree[width + i] = m[0]
-        for k in range(width - 1, 0, -1):
-            tree[k] = min(tree[2 * k], tree[2 * k + 1])
+        rank = self.ranks.get
+        leaves = [rank(ids[i] << _SHIFT | ids[i + 1], _NONE) + i for i in range(n - 1)]
+        leaves.append(_NONE)
+        levels = [leaves]
+        while len(levels[-1]) > FAN_OUT:
+            low = levels[-1]
+            levels.append([min(low[k : k + FAN_OUT]) for k in range(0, len(low), FAN_OUT)])
+        below_root, inner = levels[-1], list(zip(levels, levels[1:]))
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-
-        def put(i: int, rank: int) -> None:
-            k = width + i
-            tree[k] = rank
-            k >>= 1
-            while k:
-                least = min(tree[2 * k], tree[2 * k + 1])
-                if tree[k] == least:
-                    break
-                tree[k] = least
-                k >>= 1
-
-        while (least := tree[1]) != _NONE:
-            k = 1
-            while k < width:
-                k = 2 * k if tree[2 * k] == least else 2 * k + 1
-            i = k - width
-            j = after[i]
-            ids[i], ids[j] = merges[ids[i], ids[j]][1], -1
+        while (root := min(below_root)) < _NONE:
+            i = root & _PLACE
+            j, p = after[i], before[i]
+            ids[i] = made = self.made[root >> _SHIFT]
+            ids[j] = -1
+            leaves[j] = _NONE
             after[i] = last = after[j]
-            put(j, _NONE) if j < n - 1 else None
             if last < n:
                 before[last] = i
-                put(i, merges.get((ids[i], ids[last]), (_NONE,))[0])
+                leaves[i] = rank(made << _SHIFT | ids[last], _NONE) + i
             else:
-                put(i, _NONE)
-            if (p := before[i]) >= 0:
-                put(p, merges.get((ids[p], ids[i]), (_NONE,))[0])
+                leaves[i] = _NONE
+            if p >= 0:
+                leaves[p] = rank(ids[p] << _SHIFT | made, _NONE) + p
+            if inner:
+                for k in (i, j, p) if p >= 0 else (i, j):
+                    for low, high in inner:
+                        k //= FAN_OUT
+                        high[k] = min(low[k * FAN_OUT : k * FAN_OUT + FAN_OUT])
         return [x for x in ids if x >= 0]
 
     def __missing__(self, run: str) -> tuple[str, list[int]]:
