@@ -10,6 +10,7 @@ about ``MAX_ITEMS`` bins, so more items mean more tasks, not larger ones.
 from __future__ import annotations
 
 import re
+import string
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -27,8 +28,13 @@ END_ID = 0
 NEARLY_FULL = 8
 FAN_IN = 8
 MAX_ITEMS = 16_384
-#: Runs whose ids a worker keeps.
-CACHE_RUNS = 300_000
+#: Runs whose ids a worker keeps, about 200 bytes each; those of ``LONG_RUN`` characters or more are not kept.
+CACHE_RUNS = 600_000
+LONG_RUN = 64
+#: Marks that the tokenizer parts, as one piece, from the letters before them; no apostrophe, which may go with letters.
+_MARKS = string.punctuation.replace("'", "")
+#: Letters that the tokenizer's normaliser leaves as they are but for their case; İ gets a mark of its own.
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ž]+")
 
 _PIECE = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 _BINS = pa.schema([("used", pa.int32()), ("full", pa.bool_()), ("bin", pa.int64()), ("pieces", pa.list_(_PIECE))])
@@ -51,24 +57,50 @@ class WordEncoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        #: By id: the token ends a word.
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, run: str) -> bytes:
-        if len(self) > CACHE_RUNS:
-            self.clear()
         ids = self.whole(run)
-        if len(run) < 64:
+        if len(run) < LONG_RUN:
             self[run] = ids
         return ids
 
+    def learn(self, runs: list[str]) -> None:
+        """Keeps the ids of new runs: a word of letters once, whatever marks follow it; all such words in one call."""
+        if len(self) > CACHE_RUNS:
+            self.clear()
+        marked, words = [], []
+        for run in runs:
+            word = run.rstrip(_MARKS)
+            if len(run) < LONG_RUN and _LETTERS.fullmatch(word):
+                if word not in self:
+                    words.append(word)
+                if len(word) < len(run):
+                    marked.append((run, word))
+        words = list(dict.fromkeys(words))
+        ids = np.frombuffer(self.whole(" ".join(words)), np.uint32)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) == len(words):  # else they are encoded one by one when asked for
+            data, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+            self.update((w, data[i:j]) for w, i, j in zip(words, at, at[1:]))
+        for run, word in marked:
+            self[run] = self[word] + self[run[len(word) :]]
+
     def encode(self, text: str) -> bytes:
         """No token reaches over white space, so runs between it are encoded one by one."""
         if _WHOLE.search(text):
             return self.whole(text)
         plain = _PLAIN.fullmatch(text) and "İ" not in text
-        return b"".join(map(self.__getitem__, (text.lower() if plain else text).split()))
+        runs = (text.lower() if plain else text).split()
+        if new := [r for r in set(runs) if r not in self]:
+            self.learn(new)
+        return b"".join(map(self.__getitem__, runs))
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
