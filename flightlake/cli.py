@@ -1,17 +1,35 @@
-"""Command line: query, aggregate, ingest, frames, plot data."""
+"""Command line: query, aggregate, ingest, frames, plot data, demos, benchmarks."""
 
 from __future__ import annotations
 
 import argparse
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flightlake import benchmark
+from flightlake import settings as S
 from flightlake.plans import plot
 from flightlake.plans.store import RunStore
-from flightlake.sources import export, layout
+from flightlake.sources import export, layout, takeoff
 from flightlake.streaming import ingest
 
+# The ranges that the linear demo runs through, by parameter.
+DEMO_RANGES = {
+    "BaroAltitude": (0.0, 8_000.0),
+    "RadioAltitude": (200.0, 7_200.0),
+    "IAS": (120.0, 340.0),
+    "TAS": (140.0, 370.0),
+    "GroundSpeed": (135.0, 360.0),
+    "VerticalSpeed": (-1_500.0, 2_500.0),
+    "PitchAngle": (-4.0, 9.0),
+    "RollAngle": (-20.0, 25.0),
+    "YawAngle": (-8.0, 12.0),
+    "Engine1_N1": (58.0, 96.0),
+}
+LIVE_SECONDS = 120.0
+
 
 def parse_ids(text: str) -> set[int] | None:
     """Blank: no filter; a comma list: a set, empty for a lone comma."""
@@ -20,60 +38,112 @@ def parse_ids(text: str) -> set[int] | None:
     return {int(x) for x in text.split(",") if x.strip()}
 
 
+def _numbers(text: str) -> list[int]:
+    return [int(x) for x in text.split(",") if x.strip()]
+
+
 def parser() -> argparse.ArgumentParser:
+    conf = S.load()
     p = argparse.ArgumentParser(prog="flightlake")
-    p.add_argument("--store", default="data/store")
+    p.add_argument("--store", default=f"{conf.data_dir}/store")
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("query", "aggregate"):
+
+    def command(name: str, *options: tuple[str, dict]) -> None:
         c = sub.add_parser(name)
-        c.add_argument("--start-ts-ns", type=int, required=True)
-        c.add_argument("--end-ts-ns", type=int, required=True)
-        c.add_argument("--parameter-ids", default="")
-        c.add_argument("--output-csv", default="")
-    c = sub.add_parser("ingest")
-    c.add_argument("--frames", required=True)
-    c.add_argument("--checkpoint", required=True)
-    c = sub.add_parser("printer")
-    c.add_argument("--flt-file", required=True)
-    c.add_argument("--frames", type=int, default=24)
-    c.add_argument("--hz", type=int, default=8)
-    c.add_argument("--seed", type=int, default=42)
-    c.add_argument("--stress", action="store_true")
-    c = sub.add_parser("plot-flight")
-    c.add_argument("--target-seconds", type=float, required=True)
-    c.add_argument("--flt-file", required=True)
-    sub.add_parser("compact")
+        for flag, how in options:
+            c.add_argument(flag, **how)
+
+    number, text, on = (lambda d: {"type": int, "default": d}), (lambda d: {"default": d}), {"action": "store_true"}
+    need = lambda kind: {"type": kind, "required": True}
+    flt = ("--flt-file", {"default": f"{conf.data_dir}/base_flt.json"})
+    made = [("--duration", {"type": float, "default": 3.0}), ("--hz", number(conf.hz)), ("--seed", number(42)), ("--stress", on), flt]
+    window = [("--start-ts-ns", need(int)), ("--end-ts-ns", need(int)), ("--parameter-ids", text("")), ("--output-csv", text(""))]
+    per_second, seed, out = ("--samples-per-second", number(4)), ("--seed", number(42)), ("--output-json", text(""))
+    command("query", *window)
+    command("aggregate", *window)
+    command("ingest", ("--frames", text("")), ("--checkpoint", text("")), ("--print-stats", on), *made)
+    command("printer", *made)
+    command("plot-flight", ("--target-seconds", need(float)), flt)
+    command("plot-flight-demo", ("--target-seconds", need(float)), per_second, flt)
+    command("plot-flight-live", per_second, flt)
+    command("benchmark", seed, ("--rows", number(4096)), ("--parameter-pool", number(32)), ("--points-per-row", number(8)), out)
+    command("benchmark-scale", seed, ("--rows", number(512)), ("--parameter-pools", {"type": _numbers, "default": [200, 500, 1000, 3000]}), out)
+    command("benchmark-capture", seed, ("--frames", number(512)), ("--parameter-pool", number(3000)), ("--points-per-frame", number(3000)), out)
+    command("compact")
     return p
 
 
+def _ids(flt: DataFrame) -> dict[str, int]:
+    """Ids by name; of equal names the later counts. The layout is a validated dimension in one file."""
+    return {r["name"]: r["parameter_id"] for r in flt.select("name", "parameter_id").collect()}
+
+
+def _print(lines) -> None:
+    for line in lines:
+        print(line)
+
+
+def _plot(points: DataFrame, flt: DataFrame, target: float) -> None:
+    named = points.join(flt.select("parameter_id", "name"), "parameter_id")
+    plot.check(named, target, takeoff.NAMES)
+    _print(export.lines(plot.scaled_series(named, target).orderBy("name", F.col("seconds"))))
+
+
+def _generated(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
+    return layout.generate_frames(spark, layout.read_layout(spark, args.flt_file), int(args.duration * args.hz), args.hz, args.seed, args.stress)
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
     if args.command == "printer":
-        for line in export.lines(layout.generate_frames(spark, layout.read_layout(spark, args.flt_file), args.frames, args.hz, args.seed, args.stress).orderBy("seq", "parameter_id")):
-            print(line)
-        return 0
-    with RunStore(spark, args.store) as store:
-        if args.command in ("query", "aggregate"):
-            ids, points = parse_ids(args.parameter_ids), args.command == "query"
-            out = (store.query_range if points else store.aggregate_range)(args.start_ts_ns, args.end_ts_ns, ids)
-            out = out.orderBy("timestamp_ns", "parameter_id") if points else out.orderBy("parameter_id")
-            if args.output_csv:
-                (export.write_points_csv if points else export.write_aggregates_csv)(out, args.output_csv)
+        _print(export.lines(_generated(spark, args).orderBy("seq", "parameter_id")))
+    elif args.command == "plot-flight-demo":
+        flt = layout.read_layout(spark, args.flt_file)
+        ids = _ids(flt)
+        if missing := sorted(set(DEMO_RANGES) - set(ids)):
+            raise ValueError("missing parameters: " + ", ".join(missing))
+        _plot(layout.linear_series(spark, [(ids[n], *r) for n, r in DEMO_RANGES.items()], args.target_seconds, args.samples_per_second), flt, args.target_seconds)
+    elif args.command == "plot-flight-live":
+        flt = layout.read_layout(spark, args.flt_file)
+        _plot(takeoff.takeoff_series(spark, _ids(flt), LIVE_SECONDS, args.samples_per_second), flt, LIVE_SECONDS)
+    elif args.command.startswith("benchmark"):
+        with tempfile.TemporaryDirectory() as local:
+            root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{local}"
+            if args.command == "benchmark":
+                figures = benchmark.suite(spark, root, args.seed, args.rows, args.parameter_pool, args.points_per_row)
+            elif args.command == "benchmark-scale":
+                figures = benchmark.scale(spark, root, args.seed, args.rows, tuple(args.parameter_pools))
             else:
-                for line in export.lines(out):
-                    print(line)
-        elif args.command == "ingest":
-            ingest.ingest(ingest.read_frames(spark, args.frames), store, args.checkpoint, print).awaitTermination()
-        elif args.command == "compact":
-            print(store.compact())
-        else:
-            named = store.query_range(0, (1 << 63) - 1).join(layout.read_layout(spark, args.flt_file).select("parameter_id", "name"), "parameter_id")
-            plot.check(named, args.target_seconds, [n for b in plot.BANDS for n in b[5]])
-            for line in export.lines(plot.scaled_series(named, args.target_seconds).orderBy("name", F.col("seconds"))):
-                print(line)
+                figures = benchmark.capture(spark, root, args.seed, args.frames, args.parameter_pool, args.points_per_frame)
+            print(benchmark.report(figures, args.output_json))
+    else:
+        with RunStore(spark, args.store, min_runs=S.load().storage.compaction_min_tables) as store:
+            _on_store(spark, store, args)
     return 0
 
 
+def _on_store(spark: SparkSession, store: RunStore, args: argparse.Namespace) -> None:
+    if args.command in ("query", "aggregate"):
+        ids, points = parse_ids(args.parameter_ids), args.command == "query"
+        out = (store.query_range if points else store.aggregate_range)(args.start_ts_ns, args.end_ts_ns, ids)
+        out = out.orderBy("timestamp_ns", "parameter_id") if points else out.orderBy("parameter_id")
+        if args.output_csv:
+            (export.write_points_csv if points else export.write_aggregates_csv)(out, args.output_csv)
+        else:
+            _print(export.lines(out))
+    elif args.command == "ingest" and args.frames:
+        ingest.ingest(ingest.read_frames(spark, args.frames), store, args.checkpoint or f"{args.store}/checkpoint", print if args.print_stats else None).awaitTermination()
+    elif args.command == "ingest":
+        made = _generated(spark, args).filter("value IS NOT NULL")
+        store.append(made.select((F.col("ts_monotonic") * F.lit(1e9)).cast("long").alias("timestamp_ns"), "parameter_id", "value", F.col("seq").alias("ordinal")))
+        if args.print_stats:
+            print(store.stats)
+    elif args.command == "compact":
+        print(store.compact())
+    else:
+        _plot(store.query_range(0, (1 << 63) - 1), layout.read_layout(spark, args.flt_file), args.target_seconds)
+
+
 if __name__ == "__main__":
     raise SystemExit(main())

@@ -15,7 +15,7 @@ from flightlake.functions import scalars as S
 from flightlake.operators import points as P
 from flightlake.operators import sequences as Q
 from flightlake.plans import plot
-from flightlake.sources import layout
+from flightlake.sources import layout, takeoff
 
 START, END = 1704240000000000000, 1705104000000000000  # 2024-01-03 to 2024-01-13
 HOUR = 3_600_000_000_000
@@ -198,6 +198,7 @@ QUERIES: dict[str, Query] = {
     "param_dimension_join": lambda s, d: P.with_parameters(points(s, d), _parameters(s)),
     "missing_params": lambda s, d: P.missing_names(_parameters(s), ["IAS", "Mach", "GroundSpeed"]),
     "linear_series": lambda s, d: _rounded(layout.linear_series(s, [(1, 0.0, 300.0), (2, -10.0, 10.0)], 100.0, 4), "value"),
+    "takeoff_series": lambda s, d: _rounded(takeoff.takeoff_series(s, {n: i for i, n in enumerate(takeoff.NAMES, 1)}), "value"),
     "bench_narrow": _bench(_NARROW),
     "bench_wide": _bench(_WIDE),
 }
@@ -235,6 +236,35 @@ def _bench_sql(specs: list) -> str:
     return f"WITH {_won()} " + " UNION ALL ".join(parts)
 
 
+def _eased_sql(t0: float, t1: float, v0: float, v1: float) -> str:
+    r = f"least(greatest((t - {t0}) / {t1 - t0}, 0), 1)"
+    return f"({v0}::DOUBLE + {v1 - v0}::DOUBLE * {r} * {r} * (3 - 2 * {r}))"
+
+
+def _profile_sql(segments: list) -> str:
+    return "CASE " + " ".join(f"WHEN t <= {s[1]} THEN {_eased_sql(*s)}" for s in segments) + f" ELSE {segments[-1][3]} END"
+
+
+def _takeoff_sql() -> str:
+    """The takeoff at 4 Hz over 120 s; the noise at the anchors is given as values."""
+    speed, baro = f"({_eased_sql(0, 60, 0, 165)} + {_eased_sql(60, 120, 0, 20)})", _profile_sql(takeoff.ALTITUDE)
+    of = {
+        "BaroAltitude": baro, "RadioAltitude": f"greatest(({baro}) - 120, 0)", "IAS": speed, "TAS": f"{speed} + {_eased_sql(20, 120, 8, 32)}",
+        "GroundSpeed": f"greatest({speed} - {_eased_sql(0, 30, 20, 5)}, 0)", "VerticalSpeed": _profile_sql(takeoff.CLIMB), "PitchAngle": _profile_sql(takeoff.PITCH),
+        "RollAngle": _profile_sql(takeoff.ROLL), "YawAngle": _profile_sql(takeoff.YAW), "Engine1_N1": _profile_sql(takeoff.N1),
+    }
+    bound = lambda x, none: f"{none if x is None else x}::DOUBLE"
+    rows = " UNION ALL ".join(
+        f"SELECT i, t, '{n}' AS name, {k}::BIGINT AS parameter_id, ({of[n]})::DOUBLE AS v, {a}::DOUBLE AS amp, {bound(lo, '-1e300')} AS lo, {bound(hi, '1e300')} AS hi FROM c"
+        for k, (n, (a, lo, hi)) in enumerate(takeoff.JITTER.items(), 1)
+    )
+    noise = ", ".join(f"('{n}', {k}, {x!r}::DOUBLE, {y!r}::DOUBLE)" for n, k, x, y in takeoff.anchors(120.0))
+    return f"""WITH c AS (SELECT i, i / 4.0::DOUBLE AS t FROM range(481) r(i)), p AS ({rows}), a(name, k, here, there) AS (VALUES {noise}),
+        j AS (SELECT p.*, here + (there - here) * ((t / 6 - k) * (t / 6 - k) * (3 - 2 * (t / 6 - k))) AS noise,
+              CASE WHEN t <= 28 THEN 0 ELSE greatest(least((t - 28) / 8, (120 - t) / 8, 1), 0) END AS taper FROM p JOIN a ON a.name = p.name AND a.k = floor(t / 6))
+        SELECT (i * 250000000)::BIGINT AS timestamp_ns, parameter_id, round(least(greatest(v + noise * taper * amp, lo), hi), 6) AS value FROM j"""
+
+
 _FRAME_SQL = "f AS (SELECT DISTINCT l_orderkey, trunc(l_orderkey / 8.0 * 1e9)::BIGINT AS timestamp_ns, l_linenumber, l_quantity FROM lineitem WHERE l_linenumber <> 3)"
 _DELTA = f"{_PTS}, x AS (SELECT timestamp_ns, parameter_id, timestamp_ns - lag(timestamp_ns, 1, timestamp_ns) OVER (PARTITION BY parameter_id ORDER BY timestamp_ns) AS delta_ns FROM p)"
 _LAYOUT_SQL = "l(parameter_id, m) AS (VALUES " + ", ".join(f"({i}::BIGINT, {m}::INT)" for _, i, ms, _ in _LAYOUT for m in ms) + "), t AS (SELECT DISTINCT parameter_id, least(7, floor((m - 0.5) / 4 * 8))::BIGINT AS tick FROM l)"
@@ -290,6 +320,7 @@ ORACLE: dict[str, str] = {
     "param_dimension_join": f"WITH {_PTS} SELECT parameter_id, timestamp_ns, value, name, 'u' AS unit FROM p JOIN (VALUES " + ", ".join(f"({i}::BIGINT, '{NAMES[t]}')" for i, t in enumerate(TYPES, 1)) + ") d(parameter_id, name) USING (parameter_id)",
     "missing_params": "SELECT name FROM (VALUES ('GroundSpeed'), ('Mach')) m(name)",
     "linear_series": "SELECT (s * 250000000)::BIGINT AS timestamp_ns, i::BIGINT AS parameter_id, round(lo + (hi - lo) * (s / 400.0)::DOUBLE, 6) AS value FROM range(401) r(s), (VALUES (1, 0.0::DOUBLE, 300.0::DOUBLE), (2, -10.0, 10.0)) p(i, lo, hi)",
+    "takeoff_series": _takeoff_sql(),
     "bench_narrow": _bench_sql(_NARROW),
     "bench_wide": _bench_sql(_WIDE),
 }
