@@ -32,6 +32,15 @@ def normalised(text: Column) -> Column:
     return F.translate(text, IGNORED, "")
 
 
+def _rows(docs: DataFrame, fan_in: int) -> DataFrame:
+    """(member, body, salt, digest): what orders a row in its group, and its group."""
+    return docs.select(
+        F.struct((-F.length(text_of())).alias("shorter"), F.col("doc_id").alias("id")).alias("member"),
+        normalised(text_of()).alias("body"),
+        F.floor(F.spark_partition_id() / F.lit(fan_in)).alias("salt"),
+    ).withColumn("digest", F.sha2("body", 256))
+
+
 def exact_groups(docs: DataFrame, fan_in: int = 16) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -40,11 +49,7 @@ def exact_groups(docs: DataFrame, fan_in: int = 16) -> DataFrame:
     texts are one group. Of repeated rows with one id exactly one is ``kept``. An empty
     table gives no rows; further columns of ``docs`` are ignored, whatever their names.
     """
-    rows = docs.select(
-        F.struct((-F.length(text_of())).alias("shorter"), F.col("doc_id").alias("id")).alias("member"),
-        normalised(text_of()).alias("body"),
-        F.floor(F.spark_partition_id() / F.lit(fan_in)).alias("salt"),
-    ).withColumn("digest", F.sha2("body", 256))
+    rows = _rows(docs, fan_in)
     # One aggregate only: both uses below then read the same exchange.
     salted = (
         rows.groupBy("digest", "body", "salt")
@@ -77,9 +82,16 @@ def exact_groups(docs: DataFrame, fan_in: int = 16) -> DataFrame:
     )
 
 
-def keep_unique(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns unchanged; of repeated rows with one id and text one stays."""
-    key = lambda doc_id, digest: F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), digest)
-    stay = exact_groups(docs).filter("kept").select(key(F.col("doc_id"), F.col("text_sha256")).alias("_flightlake_key"))
-    own = docs.withColumn("_flightlake_key", key(F.col("doc_id"), F.sha2(normalised(text_of()), 256)))
+def keep_unique(docs: DataFrame, fan_in: int = 16) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns unchanged.
+
+    The winners form in the same three stages; no other row's id is gathered, so text goes
+    through two exchanges for them and one for the columns. Of repeated rows with one
+    id, text length and digest one stays. An empty table gives no rows.
+    """
+    winner = F.min("member").alias("member")
+    best = _rows(docs, fan_in).groupBy("digest", "body", "salt").agg(winner).groupBy("digest", "body").agg(winner)
+    key = lambda doc_id, shorter, digest: F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), shorter, digest)
+    stay = best.select(key(F.col("member.id"), F.col("member.shorter"), F.col("digest")).alias("_flightlake_key"))
+    own = docs.withColumn("_flightlake_key", key(F.col("doc_id"), -F.length(text_of()), F.sha2(normalised(text_of()), 256)))
     return own.join(stay, "_flightlake_key", "left_semi").dropDuplicates(["_flightlake_key"]).select(*docs.columns)

@@ -310,6 +310,13 @@ def test_exact_dedup_matches_brute_force(docs, none, odd):
     assert exact_dedup.keep_unique(odd).count() == len({r["text_sha256"] for r in out})
 
 
+def test_keep_unique_of_one_id_keeps_the_longest(spark):
+    rows = [(1, "a b", "x"), (1, "a  b", "y"), (2, "ab", "z"), (3, None, "v"), (None, " ", "w"), (3, None, "v")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, member string").repartition(3)
+    got = sorted(exact_dedup.keep_unique(docs, fan_in=1).collect(), key=str)
+    assert [tuple(r) for r in got] == [(1, "a  b", "y"), (None, " ", "w")]
+
+
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
 
 
