@@ -22,7 +22,8 @@ from flightlake.llm.common import map_rows, text_of
 
 #: Fixed value: the pattern that byte-level vocabularies split text by.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE_RUNS = 300_000
+#: Runs that one generation of the cache holds; the cache has two.
+CACHE_RUNS = 250_000
 #: Children of a node of the tree.
 FAN_OUT = 16
 #: Bits of a place in a run, and of an id.
@@ -46,10 +47,15 @@ def byte_symbols() -> list[str]:
 
 
 class Codec(dict):
-    """Encodes and decodes texts; as a dict it keeps (ids joined by commas, ids) of runs."""
+    """Encodes and decodes texts; as a dict it keeps (ids joined by commas, ids) of runs.
+
+    A full generation becomes the older one, and the one before it goes; runs met again move
+    into the new one, so frequent runs stay.
+    """
 
     def __init__(self, path: str):
         super().__init__()
+        self.older: dict[str, tuple[str, list[int]]] = {}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, symbols = spec["model"]["vocab"], byte_symbols()
@@ -108,10 +114,13 @@ class Codec(dict):
         return [x for x in ids if x >= 0]
 
     def __missing__(self, run: str) -> tuple[str, list[int]]:
-        if len(self) > CACHE_RUNS:
+        if len(self) >= CACHE_RUNS:
+            self.older = dict(self)
             self.clear()
-        ids = self.merge(run.encode("utf-8"))
-        found = (",".join(map(str, ids)), ids)
+        found = self.older.get(run)
+        if found is None:
+            ids = self.merge(run.encode("utf-8"))
+            found = (",".join(map(str, ids)), ids)
         if len(run) < 64:
             self[run] = found
         return found
