@@ -11,7 +11,7 @@ import platform
 import threading
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -165,8 +165,8 @@ def cold_recovery_startup(spark: SparkSession, root: str, data: DataFrame, rows:
     return {"startup_ms": took * 1e3, "recovery_ms": recovery * 1e3, "runs": len(again.manifest()["runs"]), "quarantined_runs": again.stats["quarantined_runs"]}
 
 
-def suite(spark: SparkSession, root: str, seed: int = 42, rows: int = 4096, pool: int = 32, per_row: int = 8) -> dict:
-    """All six scenarios over one dataset, which is written once and read again."""
+def suite(spark: SparkSession, root: str, seed: int = 42, rows: int = 4096, pool: int = 32, per_row: int = 8, sizes: Sequence[int] = ()) -> dict:
+    """All six scenarios over one dataset, which is written once and read again, and a sweep of block ``sizes`` if any are given."""
     home = f"{root.rstrip('/')}/data-{uuid.uuid4().hex}"
     dataset(spark, seed, rows, pool, per_row).write.parquet(home)
     data = spark.read.parquet(home)
@@ -175,7 +175,7 @@ def suite(spark: SparkSession, root: str, seed: int = 42, rows: int = 4096, pool
         "seed": seed, "rows": rows, "pool": pool, "total_points": data.count(), "platform": platform.platform(), "python": platform.python_version(),
         "ingest_only": ingest_only(spark, root, data, rows), "narrow_query": queries(spark, root, data, rows, narrow), "wide_query": queries(spark, root, data, rows, wide),
         "mixed_read_write": mixed_read_write(spark, root, data, rows, narrow), "frequent_flush_compact": frequent_flush_compact(spark, root, data, rows), "cold_recovery_startup": cold_recovery_startup(spark, root, data, rows),
-    }
+    } | ({"sweep": sweep(spark, root, data, rows, narrow, sizes)} if sizes else {})
 
 
 def scale(spark: SparkSession, root: str, seed: int = 42, rows: int = 512, pools: tuple[int, ...] = (200, 500, 1000, 3000)) -> list[dict]:
@@ -201,6 +201,27 @@ def capture(spark: SparkSession, root: str, seed: int = 42, count: int = 512, po
     return {"frames": count, "points_expected": expected, "points_stored": stored, "loss_rate": (expected - stored) / max(1, expected), "frames_per_sec": count / took, "points_per_sec": stored / took, **_latencies(ms)}
 
 
+def block_candidate(spark: SparkSession, root: str, data: DataFrame, rows: int, wanted: list[Spec], points: int, runs: int = 4) -> dict:
+    """Figures of a store whose row groups hold at most ``points`` points."""
+    store, each = RunStore(spark, f"{root.rstrip('/')}/bench-{uuid.uuid4().hex}", min_runs=2, block_points=points), -(-rows // runs)
+    load, _ = _timed(lambda: [store.append(data.filter(F.col("row").between(k * each, (k + 1) * each - 1)).drop("row")) for k in range(runs)])
+    size = store_bytes(store)
+    ms = [_timed(lambda: store.query_range(*spec).count())[0] * 1e3 for spec in wanted]
+    compaction, _ = _timed(store.compact)
+    return {
+        "block_max_points": points, "ingest_rows_per_sec": rows / load, "narrow_latency_p95_ms": inclusive_percentile(ms, 0.95), "bytes_per_point": size / max(1, store.stats["flush_points"]),
+        "compaction_duration_ms": compaction * 1e3, "compaction_rewrite_bytes": store.stats["compaction_bytes"],
+    }
+
+
+def sweep(spark: SparkSession, root: str, data: DataFrame, rows: int, wanted: list[Spec], sizes: Sequence[int]) -> dict:
+    """Measures every block size and selects one."""
+    if not sizes:
+        raise ValueError("no candidates")
+    found = [block_candidate(spark, root, data, rows, wanted, n) for n in sizes]
+    return {"candidates": found, "selected_block_max_points": select_block_size(spark, found)}
+
+
 def select_block_size(spark: SparkSession, candidates: list[dict]) -> int:
     """Of the candidates with at least 90 % of the best ingest rate, the least by narrow p95, bytes a point, compaction time and rewritten bytes."""
     if not candidates:

@@ -66,7 +66,7 @@ def parser() -> argparse.ArgumentParser:
     command("plot-flight", ("--target-seconds", need(float)), flt)
     command("plot-flight-demo", ("--target-seconds", need(float)), per_second, flt)
     command("plot-flight-live", per_second, flt)
-    command("benchmark", seed, ("--rows", number(4096)), ("--parameter-pool", number(32)), ("--points-per-row", number(8)), out)
+    command("benchmark", seed, ("--rows", number(4096)), ("--parameter-pool", number(32)), ("--points-per-row", number(8)), ("--sweep", {"type": _numbers, "default": [256, 512, 1024, 2048, 4096]}), out)
     command("benchmark-scale", seed, ("--rows", number(512)), ("--parameter-pools", {"type": _numbers, "default": [200, 500, 1000, 3000]}), out)
     command("benchmark-capture", seed, ("--frames", number(512)), ("--parameter-pool", number(3000)), ("--points-per-frame", number(3000)), out)
     command("compact")
@@ -111,7 +111,7 @@ def main(argv: list[str] | None = None) -> int:
         with tempfile.TemporaryDirectory() as local:
             root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{local}"
             if args.command == "benchmark":
-                figures = benchmark.suite(spark, root, args.seed, args.rows, args.parameter_pool, args.points_per_row)
+                figures = benchmark.suite(spark, root, args.seed, args.rows, args.parameter_pool, args.points_per_row, args.sweep)
             elif args.command == "benchmark-scale":
                 figures = benchmark.scale(spark, root, args.seed, args.rows, tuple(args.parameter_pools))
             else:

@@ -16,6 +16,20 @@ def sequence_gaps(frames: DataFrame, by: str, order: str) -> DataFrame:
     return seq.withColumn("gap", (F.col("seq") != before + 1).cast("long")).groupBy(by).agg(F.coalesce(F.sum("gap"), F.lit(0).cast("long")).alias("seq_gaps"), F.max_by("seq", order).alias("last_seq"))
 
 
+def gaps_in_order(frames: DataFrame) -> DataFrame:
+    """One row (seq_gaps, first_seq, last_seq) of frames taken in the order of seq, without a window over all of them.
+
+    In that order a frame follows without a gap only the first time its number does, and
+    only if the number before is there; every other frame but the first counts as a gap.
+    """
+    seq = frames.select(F.col("seq").cast("string").try_cast("long").alias("seq")).filter("seq IS NOT NULL")
+    numbers = seq.groupBy("seq").agg(F.count(F.lit(1)).alias("n"))
+    own, follower = F.struct("seq", "n", F.lit(False).alias("after")), F.struct((F.col("seq") + 1).alias("seq"), F.lit(0).cast("long").alias("n"), F.lit(True).alias("after"))
+    met = numbers.select(F.inline(F.array(own, follower))).groupBy("seq").agg(F.sum("n").alias("n"), F.max("after").alias("after")).filter("n > 0")
+    gaps = F.sum("n") - F.count(F.when(F.col("after"), 1)) - 1
+    return met.agg(F.greatest(F.coalesce(gaps, F.lit(0)), F.lit(0)).cast("long").alias("seq_gaps"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+
+
 def batch_by_rows(rows: DataFrame, by: str, order: str, max_rows: int) -> DataFrame:
     """Adds ``batch_id``: every ``max_rows`` rows of a stream close a batch."""
     n = F.row_number().over(Window.partitionBy(by).orderBy(order)).cast("long")

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from bisect import bisect_left
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,14 +25,27 @@ class StoreClosed(RuntimeError):
     pass
 
 
+def _may_hold(zone: dict, start_ns: int, end_ns: int, ids: list[int] | None) -> bool:
+    """A run's or block's zone map does not rule it out; ``ids`` is sorted."""
+    if zone["max_timestamp_ns"] < start_ns or zone["min_timestamp_ns"] >= end_ns:
+        return False
+    if ids is None:
+        return True
+    at = bisect_left(ids, zone["min_parameter_id"])
+    return at < len(ids) and ids[at] <= zone["max_parameter_id"]
+
+
 class RunStore:
     """Append, query, aggregate, compact and recover; counters of the session in ``stats``."""
 
-    def __init__(self, spark: SparkSession, root: str, min_runs: int = 4):
+    def __init__(self, spark: SparkSession, root: str, min_runs: int = 4, block_points: int | None = None):
+        """``block_points`` bounds the points of a row group; without it, Parquet's own size holds."""
         if min_runs < 2:
             raise ValueError("compaction needs at least two runs")
-        self.spark, self.root, self.min_runs, self.closed = spark, root.rstrip("/"), min_runs, False
-        self.stats = dict.fromkeys(("files_considered", "files_pruned", "files_opened", "flush_count", "flush_points", "compaction_count", "compaction_points", "quarantined_runs", "manifest_rebuild_count"), 0)
+        if block_points is not None and block_points < 1:
+            raise ValueError("a block holds at least one point")
+        self.spark, self.root, self.min_runs, self.closed, self.block_points = spark, root.rstrip("/"), min_runs, False, block_points
+        self.stats = dict.fromkeys(("files_considered", "files_pruned", "files_opened", "flush_count", "flush_points", "compaction_count", "compaction_points", "compaction_bytes", "quarantined_runs", "manifest_rebuild_count"), 0)
         self._jvm = spark._jvm
         self._fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
         for d in ("runs", "manifest", "quarantine"):
@@ -93,7 +107,7 @@ class RunStore:
     def _write_run(self, run_id: int, df: DataFrame) -> dict | None:
         staged = f"{self.root}/runs/.staged-{uuid.uuid4().hex}"
         # Sorted by key inside each file: row groups then have narrow statistics.
-        df.select("timestamp_ns", "parameter_id", "value", "ordinal").repartitionByRange("timestamp_ns").sortWithinPartitions("timestamp_ns", "parameter_id", "ordinal").write.parquet(staged)
+        df.select("timestamp_ns", "parameter_id", "value", "ordinal").repartitionByRange("timestamp_ns").sortWithinPartitions("timestamp_ns", "parameter_id", "ordinal").write.options(**self._block_options()).parquet(staged)
         c = self.spark.read.parquet(staged)
         s = c.agg(
             F.count(F.lit(1)).alias("point_count"), F.countDistinct("timestamp_ns").alias("rows_count"), F.min("timestamp_ns").alias("min_timestamp_ns"), F.max("timestamp_ns").alias("max_timestamp_ns"),
@@ -108,6 +122,9 @@ class RunStore:
         self._fs.rename(self._jvm.org.apache.hadoop.fs.Path(staged), self._path(f"runs/run_id={run_id}"))
         return {"run_id": run_id} | s
 
+    def _block_options(self) -> dict[str, str]:
+        return {} if self.block_points is None else {"parquet.block.row.count.limit": str(self.block_points)}
+
     def append(self, points: DataFrame, batch_id: int | None = None, last_seq: int | None = None) -> bool:
         """Writes one run and commits it; no points, no run. A batch id that is already committed is skipped.
 
@@ -121,9 +138,12 @@ class RunStore:
             points = points.withColumn("ordinal", F.lit(0).cast("long"))
         run = self._write_run(m["next_run_id"], points)
         batches = m["batch_ids"] if batch_id is None else [batch_id]
+        last_seq = m["last_seq"] if last_seq is None else last_seq
         if run is None:
+            if batch_id is not None:  # a batch of empty frames moves the sequence on
+                self._commit(m, batch_ids=batches, last_seq=last_seq)
             return False
-        self._commit(m, runs=[*m["runs"], run], next_run_id=run["run_id"] + 1, batch_ids=batches, last_seq=m["last_seq"] if last_seq is None else last_seq)
+        self._commit(m, runs=[*m["runs"], run], next_run_id=run["run_id"] + 1, batch_ids=batches, last_seq=last_seq)
         self.stats["flush_count"] += 1
         self.stats["flush_points"] += run["point_count"]
         return True
@@ -134,11 +154,7 @@ class RunStore:
         self._open()
         ids = None if ids is None else sorted(set(ids))
         runs = self.manifest()["runs"]
-        hit = [
-            r["run_id"] for r in runs
-            if r["max_timestamp_ns"] >= start_ns and r["min_timestamp_ns"] < end_ns
-            and (ids is None or any(r["min_parameter_id"] <= i <= r["max_parameter_id"] for i in ids))
-        ]
+        hit = [r["run_id"] for r in runs if _may_hold(r, start_ns, end_ns, ids)]
         self.stats["files_considered"] += len(runs)
         self.stats["files_pruned"] += len(runs) - len(hit)
         self.stats["files_opened"] += len(hit)
@@ -152,6 +168,51 @@ class RunStore:
     def aggregate_range(self, start_ns: int, end_ns: int, ids: Iterable[int] | None = None) -> DataFrame:
         return P.aggregate_range(self.scan(start_ns, end_ns, ids), start_ns, end_ns, ids)
 
+    # footers
+    def inspect(self, run_id: int) -> list[dict]:
+        """The blocks (row groups) of a run from its files' footers; no data is read.
+
+        Raises if the footers' count or ranges differ from what the manifest says of the run.
+        """
+        self._open()
+        parquet, conf = self._jvm.org.apache.parquet.hadoop, self.spark._jsc.hadoopConfiguration()
+        out = []
+        for name in self._names(f"runs/run_id={run_id}"):
+            if not name.endswith(".parquet"):
+                continue
+            reader = parquet.ParquetFileReader.open(parquet.util.HadoopInputFile.fromPath(self._path(f"runs/run_id={run_id}/{name}"), conf))
+            try:
+                for at, block in enumerate(reader.getFooter().getBlocks()):
+                    found = {"file": name, "block": at, "point_count": block.getRowCount(), "bytes": block.getCompressedSize()}
+                    for column in block.getColumns():
+                        path, stats = column.getPath().toDotString(), column.getStatistics()
+                        if path in ("timestamp_ns", "parameter_id"):
+                            found |= {f"min_{path}": stats.genericGetMin(), f"max_{path}": stats.genericGetMax()}
+                    out.append(found)
+            finally:
+                reader.close()
+        out = [b for b in out if b["point_count"]]
+        said = {r["run_id"]: r for r in self.manifest()["runs"]}.get(run_id)
+        if said is not None:
+            read = {"point_count": sum(b["point_count"] for b in out)}
+            for k in ("timestamp_ns", "parameter_id"):
+                read |= {f"min_{k}": min((b[f"min_{k}"] for b in out), default=None), f"max_{k}": max((b[f"max_{k}"] for b in out), default=None)}
+            if wrong := sorted(k for k, v in read.items() if said[k] != v):
+                raise ValueError(f"run {run_id}: footers and manifest differ in {', '.join(wrong)}")
+        return out
+
+    def block_counters(self, start_ns: int, end_ns: int, ids: Iterable[int] | None = None) -> dict[str, int]:
+        """What a query reads, from manifest and footers: files and blocks considered and ruled out, points in blocks scanned."""
+        ids = None if ids is None else sorted(set(ids))
+        runs = self.manifest()["runs"]
+        hit = [r for r in runs if _may_hold(r, start_ns, end_ns, ids)]
+        blocks = [b for r in hit for b in self.inspect(r["run_id"])]
+        read = [b for b in blocks if _may_hold(b, start_ns, end_ns, ids)]
+        return {
+            "files_considered": len(runs), "files_pruned": len(runs) - len(hit), "files_opened": len(hit), "blocks_considered": len(blocks),
+            "blocks_pruned": len(blocks) - len(read), "blocks_scanned": len(read), "points_decoded": sum(b["point_count"] for b in read),
+        }
+
     # maintenance
     def compact(self) -> bool:
         """With at least ``min_runs`` runs: all become one newest-wins run; True if it ran."""
@@ -164,6 +225,7 @@ class RunStore:
         self._commit(m, runs=[run], next_run_id=run["run_id"] + 1)
         self.stats["compaction_count"] += 1
         self.stats["compaction_points"] += run["point_count"]
+        self.stats["compaction_bytes"] += self._fs.getContentSummary(self._path(f"runs/run_id={run['run_id']}")).getLength()
         return True
 
     def vacuum(self, keep_versions: int = 1) -> list[str]:
@@ -186,8 +248,9 @@ class RunStore:
             stats = []
             for i in sorted(runs):
                 try:
-                    c = P.run_catalog(self.spark.read.schema(VERSIONED).parquet(f"{self.root}/runs/run_id={i}").withColumn("run_id", F.lit(i).cast("long"))).first()
-                    stats.append(c.asDict() | {"rows_count": c["point_count"]})
+                    points = self.spark.read.schema(VERSIONED).parquet(f"{self.root}/runs/run_id={i}").withColumn("run_id", F.lit(i).cast("long"))
+                    times = points.agg(F.countDistinct("timestamp_ns")).first()[0]
+                    stats.append(P.run_catalog(points).first().asDict() | {"rows_count": times})
                 except Exception:  # noqa: BLE001  any unreadable run is set aside
                     self._quarantine(f"run_id={i}", "invalid")
             m = self._commit(m, runs=stats, next_run_id=max(runs) + 1)

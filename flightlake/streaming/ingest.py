@@ -1,7 +1,8 @@
 """Continuous ingest: JSON frames to runs, exactly once per micro-batch.
 
 The store skips a batch id it has committed, so a restart repeats no points. No watermark:
-late points are kept, and "newest" means the later batch. Back-pressure is the source's own
+late points are kept, and "newest" means the later batch. The manifest carries the last sequence
+number, so a gap between batches counts too. Back-pressure is the source's own
 (``maxFilesPerTrigger``).
 """
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from flightlake.operators import points as P
-from flightlake.operators.sequences import sequence_gaps
+from flightlake.operators.sequences import gaps_in_order
 from flightlake.plans.store import RunStore
 from flightlake.schemas import FRAMES
 
@@ -25,11 +26,16 @@ def ingest(frames: DataFrame, store: RunStore, checkpoint: str, on_batch=None) -
     """Starts the query; ``on_batch`` gets a dict of counters after each commit."""
 
     def commit(batch: DataFrame, batch_id: int) -> None:
-        numbered = batch.withColumn("arrival", F.coalesce(F.col("seq").try_cast("long"), F.lit(0).cast("long")))
-        points = P.flatten_rows(P.normalise_frames(numbered)).withColumnRenamed("arrival", "ordinal")
-        done = store.append(points, batch_id=batch_id)
-        if on_batch is not None:
-            gaps = sequence_gaps(numbered.withColumn("source", F.lit(0)), "source", "arrival").first()
-            on_batch({"batch_id": batch_id, "frames_in": batch.count(), "committed": done, "seq_gaps": gaps["seq_gaps"] if gaps else 0})
+        batch = batch.persist()
+        try:
+            numbered = batch.withColumn("arrival", F.coalesce(F.col("seq").try_cast("long"), F.lit(0).cast("long")))
+            points = P.flatten_rows(P.normalise_frames(numbered)).withColumnRenamed("arrival", "ordinal")
+            found, before = gaps_in_order(batch).first(), store.manifest()["last_seq"]
+            between = found["first_seq"] is not None and before is not None and found["first_seq"] != before + 1
+            done = store.append(points, batch_id=batch_id, last_seq=found["last_seq"])
+            if on_batch is not None:
+                on_batch({"batch_id": batch_id, "frames_in": batch.count(), "committed": done, "seq_gaps": found["seq_gaps"] + between})
+        finally:
+            batch.unpersist()
 
     return frames.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

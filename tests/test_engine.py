@@ -182,7 +182,34 @@ def test_streaming_ingest_restarts_without_repeats(spark, store, tmp_path):
         q.awaitTermination(60)
         assert q.exception() is None
     assert keyed(store.query_range(0, 10**10)) == [(1_000_000_000, 1, 5.0), (1_500_000_000, 1, 6.0)]
-    assert [s["frames_in"] for s in seen] == [2, 1]
+    assert [s["frames_in"] for s in seen] == [2, 1] and store.manifest()["last_seq"] == 2
+    for name, seqs in (("c.json", ("4", "6", "x")), ("d.json", ("7",))):  # a gap between batches, one inside, none
+        (source / name).write_text("".join(frame(s, 2.0, {}) + "\n" for s in seqs))
+        ingest.ingest(ingest.read_frames(spark, str(source)), store, str(tmp_path / "cp"), seen.append).awaitTermination(60)
+    assert [s["seq_gaps"] for s in seen] == [0, 0, 2, 0] and store.manifest()["last_seq"] == 7
+
+
+def test_gaps_in_order(spark):
+    for seqs in ([], ["5"], ["1", "2", "3"], ["3", "1", "1", "2", "oops", None, "9", "9", "10"], ["-1", "0", "4"]):
+        frames = spark.createDataFrame([("s", s) for s in seqs], "source string, seq string")
+        got = Q.gaps_in_order(frames).first()
+        numbers = sorted(int(s) for s in seqs if s and s != "oops")
+        want = sum(b != a + 1 for a, b in zip(numbers, numbers[1:]))
+        assert tuple(got) == (want, min(numbers, default=None), max(numbers, default=None))
+
+
+def test_blocks_of_runs(spark, tmp_path):
+    store = RunStore(spark, f"file://{tmp_path}/blocks", min_runs=2, block_points=4)
+    store.append(df(spark, [(t, p, 1.0) for t in range(10) for p in (1, 2)]).coalesce(1))
+    blocks = store.inspect(1)
+    assert sum(b["point_count"] for b in blocks) == 20 and all(b["point_count"] <= 4 for b in blocks)
+    got = store.block_counters(0, 2, [1])
+    assert got["files_opened"] == 1 and got["blocks_pruned"] > 0 and 4 <= got["points_decoded"] < 20
+    assert store.block_counters(50, 60)["files_pruned"] == 1 and store.block_counters(0, 60, [])["blocks_scanned"] == 0
+    m = store.manifest()
+    store._commit(m, runs=[m["runs"][0] | {"point_count": 21}])
+    with pytest.raises(ValueError, match="point_count"):
+        store.inspect(1)
 
 
 def test_contract_without_corpus_operators():

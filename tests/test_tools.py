@@ -84,6 +84,8 @@ def test_scenarios(spark, tmp_path):
     often = benchmark.frequent_flush_compact(spark, root, data, 48, batches=4, min_runs=2)
     assert often["compaction_count"] == 3 and often["live_points"] == n
     assert benchmark.cold_recovery_startup(spark, root, data, 48)["quarantined_runs"] == 0
+    swept = benchmark.sweep(spark, root, data, 48, benchmark.specs(48, 8, False)[:2], [32, 64])
+    assert swept["selected_block_max_points"] in (32, 64) and all(c["compaction_rewrite_bytes"] > 0 for c in swept["candidates"])
     data.unpersist()
 
 
