@@ -175,6 +175,7 @@ QUERIES: dict[str, Query] = {
     "run_catalog_stats": lambda s, d: P.run_catalog(versioned(s, d)),
     "run_pruning": _pruning,
     "seq_gaps": _gaps,
+    "seq_gaps_in_order": lambda s, d: Q.gaps_in_order(_events(s, d).filter("event_id % 11 <> 0").select((F.col("event_id") - F.when(F.col("event_id") % 7 == 0, 1).otherwise(0)).alias("seq"))),
     "frame_normalize": lambda s, d: P.normalise_frames(_frames(s, d)).select("seq", "timestamp_ns", F.size("columns").cast("long").alias("n")),
     "frame_flatten": lambda s, d: P.flatten_rows(P.normalise_frames(_frames(s, d))),
     "batch_by_rows": lambda s, d: Q.batch_by_rows(_events(s, d).select("event_id", "event_type"), "event_type", "event_id", 100),
@@ -289,6 +290,9 @@ ORACLE: dict[str, str] = {
     "seq_gaps": """WITH s AS (SELECT event_id % 8 AS source, event_id, event_id - event_id % 3 AS seq FROM events WHERE event_id % 11 <> 0),
         g AS (SELECT *, seq <> lag(seq) OVER (PARTITION BY source ORDER BY event_id) + 1 AS gap FROM s)
         SELECT source, (count(*) FILTER (WHERE gap))::BIGINT AS seq_gaps, arg_max(seq, event_id) AS last_seq FROM g GROUP BY source""",
+    "seq_gaps_in_order": """WITH s AS (SELECT event_id - CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END AS seq FROM events WHERE event_id % 11 <> 0),
+        g AS (SELECT seq, seq <> lag(seq) OVER (ORDER BY seq) + 1 AS gap FROM s)
+        SELECT (count(*) FILTER (WHERE gap))::BIGINT AS seq_gaps, min(seq)::BIGINT AS first_seq, max(seq)::BIGINT AS last_seq FROM g""",
     "frame_normalize": f"WITH {_FRAME_SQL} SELECT l_orderkey::VARCHAR AS seq, timestamp_ns, count(*)::BIGINT AS n FROM f GROUP BY ALL",
     "frame_flatten": f"WITH {_FRAME_SQL} SELECT l_orderkey::VARCHAR AS seq, l_orderkey / 8.0::DOUBLE AS ts_monotonic, timestamp_ns, l_linenumber::BIGINT AS parameter_id, l_quantity::DOUBLE AS value FROM f",
     "batch_by_rows": "SELECT event_id, event_type, ((row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) // 100)::BIGINT AS batch_id FROM events",
@@ -318,7 +322,7 @@ ORACLE: dict[str, str] = {
         WHEN i <= 500 THEN 100 - 120 * ((i - 300) / 200.0) * ((i - 300) / 200.0) * (3 - 2 * ((i - 300) / 200.0)) ELSE -20 END::DOUBLE, 6) AS y FROM range(600) r(i)""",
     "latency_percentiles": "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type",
     "param_dimension_join": f"WITH {_PTS} SELECT parameter_id, timestamp_ns, value, name, 'u' AS unit FROM p JOIN (VALUES " + ", ".join(f"({i}::BIGINT, '{NAMES[t]}')" for i, t in enumerate(TYPES, 1)) + ") d(parameter_id, name) USING (parameter_id)",
-    "missing_params": "SELECT name FROM (VALUES ('GroundSpeed'), ('Mach')) m(name)",
+    "missing_params": f"SELECT name FROM (VALUES ('IAS'), ('Mach'), ('GroundSpeed')) m(name) WHERE name NOT IN ({', '.join(repr(n) for n in NAMES.values())})",
     "linear_series": "SELECT (s * 250000000)::BIGINT AS timestamp_ns, i::BIGINT AS parameter_id, round(lo + (hi - lo) * (s / 400.0)::DOUBLE, 6) AS value FROM range(401) r(s), (VALUES (1, 0.0::DOUBLE, 300.0::DOUBLE), (2, -10.0, 10.0)) p(i, lo, hi)",
     "takeoff_series": _takeoff_sql(),
     "bench_narrow": _bench_sql(_NARROW),
