@@ -92,6 +92,18 @@ def test_language_prediction(spark, none, odd):
     assert set(by_id(lang_id.keep_known(df))) == {i for i, *_ in rows}
 
 
+def test_short_documents_stay(spark):
+    words = {"en": "the and that with from over many words", "de": "der und das nicht über viele wörter sind"}
+    rows = [(i, " ".join(words[g].split()[(i + k) % 8] for k in range(12)), g) for i in range(160) for g in [("en", "de")[i % 2]]]
+    short = ["A.", "A.\nAll rights reserved.", "Avec.", "by", "Fjord", "Fjord " * 500, "zephyr quiz", "日本語"]
+    foreign = "".join(chr(0x4E00 + 37 * k) for k in range(400))
+    rows += [(1000 + i, t, None) for i, t in enumerate(short)] + [(2000, foreign, None), (2001, "12 !!", None), (2002, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    scores = {i: r["score"] for i, r in by_id(lang_id.identify(df)).items()}
+    assert min(scores[1000 + i] for i in range(len(short))) < lang_id.MIN_SCORE and scores[2000] < lang_id.MIN_SCORE
+    assert set(by_id(lang_id.keep_known(df))) == {i for i, *_ in rows} - {2000, 2001, 2002}
+
+
 def test_language_vectors_match_definition():
     e, text = lang_id.Encoder(64), "Abcab, abc"
     plain = " abcab abc "
