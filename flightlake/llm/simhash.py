@@ -166,22 +166,28 @@ def links(unique: DataFrame, hot_block: int = HOT_BLOCK) -> DataFrame:
         masks = sorted({y for f in finer.values() for y in f})
 
 
+def _classes(found: DataFrame, hot_block: int) -> DataFrame:
+    """(fp, root, component_id) of every fingerprint of ``found``: root is the component's least fingerprint, as a signed long."""
+    unique = written(found.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "unique")
+    part = written(components(links(unique.select("fp", F.col("fp").alias("node")), hot_block)), "components")
+    rooted = written(unique.join(part, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("root"), "least_id"), "roots")
+    # Both sides are tables, so the rows of a large component can be split at runtime.
+    least = written(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "least_ids")
+    return written(rooted.join(least, "root").select("fp", "root", "component_id"), "classes")
+
+
 def near_components(docs: DataFrame, hot_block: int = HOT_BLOCK) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id.
 
     A-Z are lower-cased, words are runs without space and ``\\t\\n\\v\\f\\r``, shingles are 3
     words (fewer words: all of them), repeats count. Texts without words, null ones too,
-    have fingerprint zero and link like any other. ``component_id`` is the least doc_id
-    reached by links of at most 3 bits, the document's own included; null only if no
-    row of the component has an id. Repeated rows each give a row. An empty table gives no
-    rows; further columns of ``docs`` are ignored.
+    have fingerprint zero and link like any other, and so do rows without an id.
+    ``component_id`` is the least doc_id reached by links of at most 3 bits, the document's
+    own included; null only if no row of the component has an id. Repeated rows each give a
+    row. An empty table gives no rows; further columns of ``docs`` are ignored.
     """
     found = written(fingerprints(docs), "fingerprints")
-    unique = written(found.groupBy("fp").agg(F.min("doc_id").alias("node")), "unique")
-    named = unique.filter(F.col("node").isNotNull())
-    part = written(components(links(named, hot_block)), "components")
-    classes = written(unique.join(part, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "classes")
-    return found.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return found.join(_classes(found, hot_block), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

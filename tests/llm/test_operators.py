@@ -240,6 +240,23 @@ def test_simhash_matches_brute_force(docs, none, odd):
     assert simhash.near_components(odd).count() == odd.count()
 
 
+def chain_of_texts():
+    """Three texts of which only the second is within 3 bits of the others."""
+    words = BASE.split()
+    texts = [" ".join(words[:k] + ["other"] + words[k + 1 :]) for k in range(0, len(words), 2)]
+    fps = {t: plain_fingerprint(t) for t in texts}
+    near = lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 3
+    return next((a, b, c) for b in texts for a in texts for c in texts if near(a, b) and near(b, c) and not near(a, c))
+
+
+def test_simhash_links_rows_without_an_id(spark):
+    a, b, c = chain_of_texts()
+    rows = [(5, a), (None, b), (9, c), (None, "alone without any id"), (7, "far from the others")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["fingerprint"]): r["component_id"] for r in simhash.near_components(docs).collect()}
+    assert got == {(i, f"{plain_fingerprint(t):016x}"): {a: 5, b: 5, c: 5}.get(t, i) for i, t in rows}
+
+
 def test_simhash_links_are_complete_in_hot_blocks(spark):
     rng = np.random.default_rng(7)
     fps = set()
