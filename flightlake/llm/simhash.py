@@ -51,15 +51,15 @@ def fingerprint(text: bytes, words: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every row; fp holds the 64 bits as a signed long. A null text has no words."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    """(doc_id, fp, text_hash) of every row; fp holds the 64 bits as a signed long. A null text has no words."""
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("text_hash", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), batch.column(2)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().cast("binary").alias("text"), F.xxhash64(text_of()).alias("text_hash")).mapInArrow(run, "doc_id long, fp long, text_hash long")
 
 
 def _signed(mask: int) -> int:
@@ -191,7 +191,14 @@ def near_components(docs: DataFrame, hot_block: int = HOT_BLOCK) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The document with the least id of every near-duplicate component; rows without an id stay, columns too."""
-    stay = near_components(docs).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    with_id = docs.filter(F.col("doc_id").isNotNull()).join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return with_id.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    """One row of every near-duplicate component, columns unchanged: that with the least (doc_id, fingerprint, text hash), null ids last.
+
+    Rows that share an id but not a component are judged apart, and rows without an id like
+    any other. Rows with one id and one text count as one.
+    """
+    found = written(fingerprints(docs), "fingerprints")
+    member = F.struct(F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_id"), "fp", F.col("text_hash").alias("_hash"))
+    stay = found.join(_classes(found, HOT_BLOCK), "fp").groupBy("root").agg(F.min(member).alias("m")).select("m._none", "m._id", "m._hash")
+    keys = ["_none", "_id", "_hash"]
+    own = docs.withColumns({"_none": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), "_hash": F.xxhash64(text_of())})
+    return own.join(stay, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)

@@ -257,6 +257,14 @@ def test_simhash_links_rows_without_an_id(spark):
     assert got == {(i, f"{plain_fingerprint(t):016x}"): {a: 5, b: 5, c: 5}.get(t, i) for i, t in rows}
 
 
+def test_keep_one_judges_texts_of_one_id_apart(spark):
+    a, b, c = chain_of_texts()
+    rows = [(3, a), (5, b), (5, "unrelated words under the id five"), (3, "more unrelated words, id three"), (None, c), (None, "alone"), (None, "alone"), (8, "x y z"), (8, "x y z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, simhash.keep_one(docs).collect()), key=str)
+    assert got == sorted([rows[0], rows[2], rows[3], rows[5], rows[7]], key=str)
+
+
 def test_simhash_links_are_complete_in_hot_blocks(spark):
     rng = np.random.default_rng(7)
     fps = set()
