@@ -111,12 +111,12 @@ def find_spans(text: str) -> list[tuple[str, int, int, float]]:
     out = [(kind, a, b, min(1.0, START[kind] + (0.3 if kind == "card" else 0.1))) for kind, a, b in base_spans(text)]
     base = sorted((a, b) for _, a, b, _ in out)
     added = {kind: [] for kind in ADDED_KINDS}
-    at = 0
+    at = reach = 0
     for kind, a, b, checked in sorted(_proposed(text), key=lambda s: s[1]):
-        while at < len(base) and base[at][1] <= a:
-            at += 1
-        if at < len(base) and base[at][0] < b:
-            continue  # a base span already covers it
+        while at < len(base) and base[at][0] <= a:
+            at, reach = at + 1, max(reach, base[at][1])
+        if reach >= b:
+            continue  # a base span already covers it whole
         near = CONTEXT[kind].search(text, max(0, a - CONTEXT_CHARS), a)
         score = START[kind] + checked + (0.4 if near else 0.0)
         if score >= MIN_SCORE:

@@ -333,6 +333,15 @@ def test_pii_added_kinds_and_redaction(docs, none, odd):
     assert pii.redact_documents(docs).columns == docs.columns
 
 
+def test_pii_iban_with_a_card_inside_stays_whole():
+    text = "pay GB19NWBK00925430999126 now, card 4111 1111 1111 1111"
+    spans = pii.find_spans(text)
+    assert [(k, text[a:b]) for k, a, b, _ in spans] == [("card", "00925430999126"), ("card", "4111 1111 1111 1111"), ("iban", "GB19NWBK00925430999126")]
+    assert pii.redact(text, spans) == "pay <IBAN> now, card <CARD>"
+    text = "token a.long-local-part-of-an-address-12@example.org"
+    assert [k for k, *_ in pii.find_spans(text)] == ["email"]
+
+
 def test_exact_dedup_matches_brute_force(docs, none, odd):
     groups = {}
     for i, t, *_ in ROWS:
