@@ -3,8 +3,8 @@
 Base kinds (email, ip, card, phone) follow fixed patterns and always stay. The method
 adds further kinds: ``iban`` (mod-97), ``ssn`` and ``secret`` tokens. A proposed span
 starts with the score of its kind; a passed checksum and context words within
-``CONTEXT_CHARS`` code points before it raise the score, and an added span stays from
-``MIN_SCORE`` on. Every pattern runs in time linear in the text.
+``CONTEXT_CHARS`` code points before or after it raise the score, and an added span stays
+from ``MIN_SCORE`` on. Every pattern runs in time linear in the text.
 """
 
 from __future__ import annotations
@@ -34,12 +34,17 @@ _SECRET = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9_-]{20,}+(?![A-Za-z0-9])")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 #: Words near a span that speak for its kind.
 CONTEXT = {
+    "email": re.compile(r"mail|contact|correo|courriel|kontakt", re.I),
+    "ip": re.compile(r"\bipv?4?\b|address|adresse|server|host|client", re.I),
+    "card": re.compile(r"card|karte|carte|tarjeta|visa|credit|payment", re.I),
+    "phone": re.compile(r"phone|fon\b|\btel\b|t[eé]l[eéè]|\bfax|call|mobil", re.I),
     "iban": re.compile(r"iban|account|bank|konto|compte|cuenta", re.I),
     "ssn": re.compile(r"ssn|social|security", re.I),
     "secret": re.compile(r"token|secret|passw|api[_ -]?key|bearer|credential", re.I),
 }
-#: Score of a proposed span before context.
+#: Score of a proposed span before checks and context, and what context adds.
 START = {"email": 0.9, "ip": 0.7, "card": 0.7, "phone": 0.6, "iban": 0.5, "ssn": 0.4, "secret": 0.2}
+CONTEXT_ADDS = {kind: 0.1 for kind in BASE_KINDS} | {kind: 0.4 for kind in ADDED_KINDS}
 
 
 def luhn(digits: str) -> bool:
@@ -106,9 +111,16 @@ def _proposed(text: str):
         yield "secret", m.start(), m.end(), 0.1 if mixed else -0.2
 
 
+def _score(text: str, kind: str, a: int, b: int, checked: float) -> float:
+    """Start of the kind, the check's part, and context on either side of the span."""
+    words = CONTEXT[kind]
+    near = words.search(text, max(0, a - CONTEXT_CHARS), a) or words.search(text, b, b + CONTEXT_CHARS)
+    return round(min(1.0, START[kind] + checked + (CONTEXT_ADDS[kind] if near else 0.0)), 3)
+
+
 def find_spans(text: str) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score) by kind as in ``KINDS``, then start; code points, end exclusive."""
-    out = [(kind, a, b, min(1.0, START[kind] + (0.3 if kind == "card" else 0.1))) for kind, a, b in base_spans(text)]
+    out = [(kind, a, b, _score(text, kind, a, b, 0.2 if kind == "card" else 0.0)) for kind, a, b in base_spans(text)]
     base = sorted((a, b) for _, a, b, _ in out)
     added = {kind: [] for kind in ADDED_KINDS}
     at = reach = 0
@@ -117,10 +129,9 @@ def find_spans(text: str) -> list[tuple[str, int, int, float]]:
             at, reach = at + 1, max(reach, base[at][1])
         if reach >= b:
             continue  # a base span already covers it whole
-        near = CONTEXT[kind].search(text, max(0, a - CONTEXT_CHARS), a)
-        score = START[kind] + checked + (0.4 if near else 0.0)
+        score = _score(text, kind, a, b, checked)
         if score >= MIN_SCORE:
-            added[kind].append((kind, a, b, round(min(1.0, score), 3)))
+            added[kind].append((kind, a, b, score))
     return out + [s for kind in ADDED_KINDS for s in added[kind]]
 
 

@@ -342,6 +342,16 @@ def test_pii_iban_with_a_card_inside_stays_whole():
     assert [k for k, *_ in pii.find_spans(text)] == ["email"]
 
 
+def test_pii_context_on_both_sides_scores_every_kind():
+    assert [s[0] for s in pii.find_spans("123-45-6789 (SSN)")] == ["ssn"] and not pii.find_spans("part 123-45-6789 (steel)")
+    cases = {"email": ("a@b.org", "mail"), "ip": ("10.0.0.255", "the IP"), "card": ("4111 1111 1111 1111", "credit card"), "phone": ("+49 (30) 1234-5678", "phone")}
+    for kind, (value, word) in cases.items():
+        score = lambda text: next(s for k, _, _, s in pii.find_spans(text) if k == kind)
+        alone = score(f"see {value}.")
+        assert pii.MIN_SCORE <= alone < score(f"{word}: {value}.") == score(f"{value} ({word})") <= 1
+        assert score(f"{word} {'x ' * 30}{value}") == alone
+
+
 def test_exact_dedup_matches_brute_force(docs, none, odd):
     groups = {}
     for i, t, *_ in ROWS:
