@@ -6,6 +6,7 @@ import random
 
 import pytest
 
+from flightlake import queries
 from flightlake.operators import points as P
 from flightlake.operators import sequences as Q
 from flightlake.plans.store import RunStore, StoreClosed
@@ -216,3 +217,9 @@ def test_contract_without_corpus_operators():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_gaps_in_order_query_reads_all_events(spark):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    frames = queries._gap_frames(spark, "/root/testdata/sf0.001")
+    assert frames.count() == events.count() and frames.filter("seq = 'oops'").count() == events.filter("event_id % 11 = 0").count() > 0
