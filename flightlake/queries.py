@@ -19,6 +19,7 @@ from flightlake.sources import layout, takeoff
 
 START, END = 1704240000000000000, 1705104000000000000  # 2024-01-03 to 2024-01-13
 HOUR = 3_600_000_000_000
+FOLD_ROWS, FOLD_POINTS = 7, 30
 TYPES = ["click", "error", "purchase", "signup", "view"]
 NAMES = {"click": "IAS", "error": "TAS", "purchase": "BaroAltitude", "signup": "VerticalSpeed", "view": "Engine1_N1"}
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,10 +106,10 @@ def _overflow(policy: str) -> Query:
     return run
 
 
-def _fold_batches(s: SparkSession, d: str) -> DataFrame:
+def _fold_batches(s: SparkSession, d: str, max_rows: int = 0, max_points: int = 0) -> DataFrame:
     sizes = s.read.parquet(f"{d}/lineitem.parquet").groupBy((F.col("l_orderkey") % 64).alias("source"), "l_orderkey").agg(F.count(F.lit(1)).alias("n"))
     arr = sizes.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("l_orderkey", "n"))).alias("r"))
-    out = arr.select("source", F.explode(F.arrays_zip("r", Q.greedy_batches(F.transform("r", lambda x: x["n"]), 0, 0).alias("b"))).alias("x"))
+    out = arr.select("source", F.explode(F.arrays_zip("r", Q.greedy_batches(F.transform("r", lambda x: x["n"]), max_rows, max_points).alias("b"))).alias("x"))
     return out.groupBy("source", F.col("x.b").alias("batch_id")).agg(F.count(F.lit(1)).alias("rows"))
 
 
@@ -186,6 +187,7 @@ QUERIES: dict[str, Query] = {
     "frame_flatten": lambda s, d: P.flatten_rows(P.normalise_frames(_frames(s, d))),
     "batch_by_rows": lambda s, d: Q.batch_by_rows(_events(s, d).select("event_id", "event_type"), "event_type", "event_id", 100),
     "batch_fold_unbounded": _fold_batches,
+    "batch_fold_limits": lambda s, d: _fold_batches(s, d, FOLD_ROWS, FOLD_POINTS),
     "overflow_drop_newest": _overflow("drop_newest"),
     "overflow_drop_oldest": _overflow("drop_oldest"),
     "overflow_block": _overflow("block"),
@@ -303,6 +305,12 @@ ORACLE: dict[str, str] = {
     "frame_flatten": f"WITH {_FRAME_SQL} SELECT l_orderkey::VARCHAR AS seq, l_orderkey / 8.0::DOUBLE AS ts_monotonic, timestamp_ns, l_linenumber::BIGINT AS parameter_id, l_quantity::DOUBLE AS value FROM f",
     "batch_by_rows": "SELECT event_id, event_type, ((row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) // 100)::BIGINT AS batch_id FROM events",
     "batch_fold_unbounded": "SELECT l_orderkey % 64 AS source, 0::BIGINT AS batch_id, count(DISTINCT l_orderkey)::BIGINT AS rows FROM lineitem GROUP BY 1",
+    "batch_fold_limits": f"""WITH RECURSIVE o AS (SELECT l_orderkey % 64 AS source, l_orderkey, count(*) AS n FROM lineitem GROUP BY ALL), t AS (SELECT source, n, row_number() OVER (PARTITION BY source ORDER BY l_orderkey) AS k FROM o),
+        f AS (SELECT source, k, 0 AS batch_id, 1 AS r, n AS p FROM t WHERE k = 1
+              UNION ALL SELECT t.source, t.k, CASE WHEN f.r >= {FOLD_ROWS} OR f.p >= {FOLD_POINTS} THEN f.batch_id + 1 ELSE f.batch_id END,
+                  CASE WHEN f.r >= {FOLD_ROWS} OR f.p >= {FOLD_POINTS} THEN 1 ELSE f.r + 1 END, CASE WHEN f.r >= {FOLD_ROWS} OR f.p >= {FOLD_POINTS} THEN t.n ELSE f.p + t.n END
+              FROM f JOIN t ON t.source = f.source AND t.k = f.k + 1)
+        SELECT source, batch_id::BIGINT AS batch_id, count(*)::BIGINT AS rows FROM f GROUP BY ALL""",
     "overflow_drop_newest": f"SELECT event_id, (epoch_us(ts) * 1000) // {HOUR} AS interval FROM events QUALIFY row_number() OVER (PARTITION BY (epoch_us(ts) * 1000) // {HOUR} ORDER BY event_id) <= 5",
     "overflow_drop_oldest": f"SELECT event_id, (epoch_us(ts) * 1000) // {HOUR} AS interval FROM events QUALIFY row_number() OVER (PARTITION BY (epoch_us(ts) * 1000) // {HOUR} ORDER BY event_id DESC) <= 5",
     "overflow_block": f"SELECT event_id, (epoch_us(ts) * 1000) // {HOUR} AS interval FROM events",

@@ -223,3 +223,21 @@ def test_gaps_in_order_query_reads_all_events(spark):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     frames = queries._gap_frames(spark, "/root/testdata/sf0.001")
     assert frames.count() == events.count() and frames.filter("seq = 'oops'").count() == events.filter("event_id % 11 = 0").count() > 0
+
+
+def test_fold_query_closes_by_rows_and_by_points(spark):
+    path = "/root/testdata/sf0.001"
+    sizes, want = {}, {}
+    for r in spark.read.parquet(f"{path}/lineitem.parquet").groupBy("l_orderkey").count().orderBy("l_orderkey").collect():
+        sizes.setdefault(r["l_orderkey"] % 64, []).append(r["count"])
+    closed = set()
+    for source, every in sizes.items():
+        batch = rows = points = 0
+        for n in every:
+            rows, points = rows + 1, points + n
+            want[source, batch] = rows
+            if rows >= queries.FOLD_ROWS or points >= queries.FOLD_POINTS:
+                closed.add("points" if points >= queries.FOLD_POINTS else "rows")
+                batch, rows, points = batch + 1, 0, 0
+    got = {(r["source"], r["batch_id"]): r["rows"] for r in queries.QUERIES["batch_fold_limits"](spark, path).collect()}
+    assert got == want and closed == {"rows", "points"}
