@@ -406,6 +406,29 @@ def test_bpe_matches_library_on_every_character():
     assert wrong == []
 
 
+def test_bpe_rows_of_short_runs_match_single_trees():
+    c = bpe.codec(BYTES)
+    runs = [w.encode()[:16] for w in {*LONG[:3000].split(), *BASE.split(), "aaaaaaaaaaaaaaaa", "é", "x", "abababab", " the", "日本語"}]
+    ids, counts = c.merge_rows(runs)
+    assert [ids[b - n : b] for n, b in zip(counts, np.cumsum(counts))] == [c.merge(r) for r in runs]
+    assert c.merge_rows([])[0] == []
+
+
+def test_bpe_cache_generations_and_windows(monkeypatch):
+    texts = [f"word{i} item{i % 7}, <|endoftext|>  it's\n {'z' * 70}{i % 3} ''s x" for i in range(300)] + ["", " ", LONG[:50_000]]
+    want = [library_cached().encode(t, add_special_tokens=False).ids for t in texts]
+    monkeypatch.setattr(bpe, "CACHE_RUNS", 40)
+    monkeypatch.setattr(bpe, "WINDOW", 32)
+    c = bpe.Codec(BYTES)
+    for again in range(2):
+        got, decoded = [[] for _ in texts], [""] * len(texts)
+        for n, ids, text in c.parts(texts):
+            got[n] += map(int, ids.split(","))
+            decoded[n] += text
+        assert got == want and decoded == texts
+    assert c.older and not any(len(s) >= bpe.KEPT_CHARS for s in c.cache)
+
+
 _LIBRARY = []
 
 
