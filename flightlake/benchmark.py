@@ -89,27 +89,27 @@ def store_bytes(store: RunStore) -> int:
     return store._fs.getContentSummary(store._path("runs")).getLength()
 
 
-def _new(spark: SparkSession, root: str, min_runs: int = 32) -> RunStore:
-    return RunStore(spark, f"{root.rstrip('/')}/bench-{uuid.uuid4().hex}", min_runs=min_runs)
+def _new(spark: SparkSession, root: str, min_runs: int = 32, block_points: int | None = None) -> RunStore:
+    return RunStore(spark, f"{root.rstrip('/')}/bench-{uuid.uuid4().hex}", min_runs=min_runs, block_points=block_points)
 
 
-def _loaded(spark: SparkSession, root: str, data: DataFrame, rows: int, runs: int) -> RunStore:
+def _loaded(spark: SparkSession, root: str, data: DataFrame, rows: int, runs: int, block_points: int | None = None) -> RunStore:
     """A store that has ``data`` in ``runs`` appends of successive rows."""
-    store, each = _new(spark, root), -(-rows // runs)
+    store, each = _new(spark, root, block_points=block_points), -(-rows // runs)
     for k in range(runs):
         store.append(data.filter(F.col("row").between(k * each, (k + 1) * each - 1)).drop("row"))
     return store
 
 
-def ingest_only(spark: SparkSession, root: str, data: DataFrame, rows: int) -> dict:
-    took, store = _timed(lambda: _loaded(spark, root, data, rows, 1))
+def ingest_only(spark: SparkSession, root: str, data: DataFrame, rows: int, block_points: int | None = None) -> dict:
+    took, store = _timed(lambda: _loaded(spark, root, data, rows, 1, block_points))
     points, size = store.stats["flush_points"], store_bytes(store)
     return {"rows_per_sec": rows / took, "points_per_sec": points / took, "bytes_written": size, "bytes_per_point": size / max(1, points), "flush_count": store.stats["flush_count"]}
 
 
-def queries(spark: SparkSession, root: str, data: DataFrame, rows: int, wanted: list[Spec]) -> dict:
+def queries(spark: SparkSession, root: str, data: DataFrame, rows: int, wanted: list[Spec], block_points: int | None = None) -> dict:
     """Latency of each query on a reopened store, and counters of pruning."""
-    first = _loaded(spark, root, data, rows, 4)
+    first = _loaded(spark, root, data, rows, 4, block_points)
     first.close()
     store, ms, returned = RunStore(spark, first.root), [], 0
     for a, b, ids in wanted:
@@ -165,7 +165,7 @@ def cold_recovery_startup(spark: SparkSession, root: str, data: DataFrame, rows:
     return {"startup_ms": took * 1e3, "recovery_ms": recovery * 1e3, "runs": len(again.manifest()["runs"]), "quarantined_runs": again.stats["quarantined_runs"]}
 
 
-def suite(spark: SparkSession, root: str, seed: int = 42, rows: int = 4096, pool: int = 32, per_row: int = 8, sizes: Sequence[int] = ()) -> dict:
+def suite(spark: SparkSession, root: str, seed: int = 42, rows: int = 4096, pool: int = 32, per_row: int = 8, sizes: Sequence[int] = (), block_points: int | None = None) -> dict:
     """All six scenarios over one dataset, which is written once and read again, and a sweep of block ``sizes`` if any are given."""
     home = f"{root.rstrip('/')}/data-{uuid.uuid4().hex}"
     dataset(spark, seed, rows, pool, per_row).write.parquet(home)
@@ -173,28 +173,28 @@ def suite(spark: SparkSession, root: str, seed: int = 42, rows: int = 4096, pool
     narrow, wide = specs(rows, pool, False), specs(rows, pool, True)
     return {
         "seed": seed, "rows": rows, "pool": pool, "total_points": data.count(), "platform": platform.platform(), "python": platform.python_version(),
-        "ingest_only": ingest_only(spark, root, data, rows), "narrow_query": queries(spark, root, data, rows, narrow), "wide_query": queries(spark, root, data, rows, wide),
+        "ingest_only": ingest_only(spark, root, data, rows, block_points), "narrow_query": queries(spark, root, data, rows, narrow, block_points), "wide_query": queries(spark, root, data, rows, wide, block_points),
         "mixed_read_write": mixed_read_write(spark, root, data, rows, narrow), "frequent_flush_compact": frequent_flush_compact(spark, root, data, rows), "cold_recovery_startup": cold_recovery_startup(spark, root, data, rows),
     } | ({"sweep": sweep(spark, root, data, rows, narrow, sizes)} if sizes else {})
 
 
-def scale(spark: SparkSession, root: str, seed: int = 42, rows: int = 512, pools: tuple[int, ...] = (200, 500, 1000, 3000)) -> list[dict]:
+def scale(spark: SparkSession, root: str, seed: int = 42, rows: int = 512, pools: tuple[int, ...] = (200, 500, 1000, 3000), block_points: int | None = None) -> list[dict]:
     """Ingest and both kinds of query for growing pools, every row with the whole pool."""
     out = []
     for pool in pools:
         data = dataset(spark, seed, rows, pool, pool)
-        out.append({"pool": pool, "ingest_only": ingest_only(spark, root, data, rows)} | {n: queries(spark, root, data, rows, specs(rows, pool, n == "wide_query")) for n in ("narrow_query", "wide_query")})
+        out.append({"pool": pool, "ingest_only": ingest_only(spark, root, data, rows, block_points)} | {n: queries(spark, root, data, rows, specs(rows, pool, n == "wide_query"), block_points) for n in ("narrow_query", "wide_query")})
     return out
 
 
-def capture(spark: SparkSession, root: str, seed: int = 42, count: int = 512, pool: int = 3000, per_frame: int = 3000, files: int = 8) -> dict:
-    """Frames from files through the streaming ingest; the loss is what a read of the store lacks."""
+def capture(spark: SparkSession, root: str, seed: int = 42, count: int = 512, pool: int = 3000, per_frame: int = 3000, files: int = 8, queue_files: int = 1, block_points: int | None = None) -> dict:
+    """Frames from files through the streaming ingest, ``queue_files`` at a time; the loss is what a read of the store lacks."""
     from flightlake.streaming.ingest import ingest, read_frames
 
     home, expected = f"{root.rstrip('/')}/capture-{uuid.uuid4().hex}", count * min(pool, max(1, per_frame))
     frames(spark, seed, count, pool, per_frame).repartition(files).write.json(f"{home}/frames")
-    store = RunStore(spark, f"{home}/store", min_runs=32)
-    query = ingest(read_frames(spark, f"{home}/frames", 1), store, f"{home}/checkpoint")
+    store = RunStore(spark, f"{home}/store", min_runs=32, block_points=block_points)
+    query = ingest(read_frames(spark, f"{home}/frames", queue_files), store, f"{home}/checkpoint")
     took, _ = _timed(query.awaitTermination)
     ms = [float(p["durationMs"]["triggerExecution"]) for p in query.recentProgress if p["numInputRows"]]
     stored = store.query_range(0, (1 << 63) - 1).count()
@@ -233,6 +233,24 @@ def select_block_size(spark: SparkSession, candidates: list[dict]) -> int:
     return fast.orderBy(*order).limit(1).first()["block_max_points"]
 
 
+def summary(figures: object) -> list[str]:
+    """Lines that tell a suite's, a scale's or a capture's figures."""
+    if isinstance(figures, list):
+        return [f"pool {r['pool']}: ingest {r['ingest_only']['points_per_sec']:.1f} points/s at {r['ingest_only']['bytes_per_point']:.3f} bytes a point, wide query p95 {r['wide_query']['latency_p95_ms']:.3f} ms" for r in figures]
+    if "frames" in figures:
+        return [
+            f"{figures['frames']} frames: {figures['points_per_sec']:.1f} points/s, {figures['frames_per_sec']:.1f} frames/s, loss {100 * figures['loss_rate']:.6f} %",
+            "batches: " + ", ".join(f"p{p} {figures[f'latency_p{p}_ms']:.3f} ms" for p in (50, 95, 99)),
+        ]
+    out = [f"{figures['rows']} rows, {figures['total_points']} points, seed {figures['seed']}"]
+    for name, found in figures.items():
+        if isinstance(found, dict) and name != "sweep":
+            out.append(f"{name}: " + ", ".join(f"{k} {v:.3f}" if isinstance(v, float) else f"{k} {v}" for k, v in found.items()))
+    if "sweep" in figures:
+        out.append(f"sweep: {figures['sweep']['selected_block_max_points']} points a block")
+    return out
+
+
 def report(figures: object, path: str | Path = "") -> str:
     """Indented ASCII JSON, written to ``path`` if there is one."""
     text = json.dumps(figures, indent=2, ensure_ascii=True)

@@ -1,4 +1,4 @@
-"""Scalar expressions: scaling, easing, profiles, percentiles, labels, file names."""
+"""Scalar expressions: scaling, easing, profiles, percentiles, labels."""
 
 from __future__ import annotations
 
@@ -36,15 +36,22 @@ def percentile(column: str, q: float) -> Column:
     return F.coalesce(F.percentile(column, F.lit(q)), F.lit(0.0))
 
 
-def rate(n: Column, seconds: Column) -> Column:
-    """n a second, 0 for no time."""
-    return F.when(seconds > 0, n / seconds).otherwise(F.lit(0.0))
+def tick_label(value: Column) -> Column:
+    """Numbers that are nearly whole without decimals, others with one."""
+    whole = F.bround(value)
+    near = F.abs(value - whole) <= F.greatest(1e-9 * F.greatest(F.abs(value), F.abs(whole)), F.lit(1e-9))
+    return F.when(near, F.format_string("%d", whole.cast("long"))).otherwise(F.format_string("%.1f", value))
 
 
-def tick_label(value: Column) -> Column:
-    """Integers without decimals, else one."""
-    return F.when(value == F.round(value), F.format_string("%d", value.cast("long"))).otherwise(F.format_string("%.1f", value))
+# Names that are written out in labels.
+READABLE = {"GroundSpeed": "Ground speed", "VerticalSpeed": "Vertical speed", "Engine1_N1": "Engine1 N1"}
+
+
+def readable(name: Column) -> Column:
+    """The name as labels write it."""
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in READABLE.items() for x in pair]), name), name)
 
 
-def run_name(run_id: Column) -> Column:
-    return F.lpad(run_id.cast("string"), 20, "0")
+def guide_text(names: Column) -> Column:
+    """An array of names, readable, one a line."""
+    return F.array_join(F.transform(names, readable), "\n")

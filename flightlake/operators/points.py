@@ -30,12 +30,17 @@ def filter_parameters(points: DataFrame, ids: Iterable[int] | None) -> DataFrame
     if len(ids) <= ID_LIST:
         return points.filter(F.col("parameter_id").isin(ids))
     wanted = points.sparkSession.createDataFrame([(i,) for i in ids], "parameter_id long")
-    return points.join(F.broadcast(wanted), "parameter_id", "left_semi")  # ids given by the caller, as many as a list holds
+    return points.join(wanted, "parameter_id", "left_semi")  # Spark broadcasts the ids if their size allows
 
 
 def version(run_id: Column, ordinal: Column) -> Column:
-    """One BIGINT that orders points by run, then by arrival: a fixed-width key keeps the hash aggregate."""
-    return F.shiftleft(run_id.cast("long"), ORDINAL_BITS) + ordinal
+    """One BIGINT that orders points by run, then by arrival: a fixed-width key keeps the hash aggregate.
+
+    A run or an ordinal beyond its width fails the query instead of passing for another run.
+    """
+    run, place = run_id.cast("long"), ordinal.cast("long")
+    fits = run.between(0, (1 << (63 - ORDINAL_BITS)) - 1) & place.between(0, (1 << ORDINAL_BITS) - 1)
+    return F.when(fits, F.shiftleft(run, ORDINAL_BITS) + place).otherwise(F.raise_error(F.lit("run or ordinal too large for a version")).cast("long"))
 
 
 def newest_wins(versioned: DataFrame) -> DataFrame:
@@ -48,9 +53,13 @@ def in_key_order(points: DataFrame) -> DataFrame:
     return points.select(*POINT_COLUMNS).orderBy("timestamp_ns", "parameter_id")
 
 
-def query_range(versioned: DataFrame, start_ns: int, end_ns: int, ids: Iterable[int] | None = None) -> DataFrame:
-    """Filter, then newest-wins; the filters are on key columns only, so they reach the scan."""
-    return newest_wins(filter_parameters(versioned.filter(in_time(start_ns, end_ns)), ids)).select(*POINT_COLUMNS)
+def query_range(versioned: DataFrame, start_ns: int, end_ns: int, ids: Iterable[int] | None = None, ordered: bool = False) -> DataFrame:
+    """Filter, then newest-wins; the filters are on key columns only, so they reach the scan.
+
+    In key order if ``ordered``: ranges of keys then serve both the aggregate and the sort, in one exchange.
+    """
+    kept = filter_parameters(versioned.filter(in_time(start_ns, end_ns)), ids)
+    return in_key_order(newest_wins(kept.repartitionByRange("timestamp_ns", "parameter_id"))) if ordered else newest_wins(kept).select(*POINT_COLUMNS)
 
 
 def _first_nan(extreme: Column) -> Column:
@@ -73,6 +82,17 @@ def aggregate_points(points: DataFrame, start_ns: int, end_ns: int, ids: Iterabl
     return out.withColumn("start_ts_ns", F.lit(start_ns).cast("long")).withColumn("end_ts_ns", F.lit(end_ns).cast("long")).select(*AGGREGATE_COLUMNS)
 
 
+#: Fixed value: the aggregates' names.
+AGGREGATES = ("min", "max", "avg", "count")
+
+
+def broken_aggregates(aggregates: DataFrame) -> DataFrame:
+    """The rows that no aggregate can give: a negative count, values without points, or points without values."""
+    values = [F.col(c).isNull() for c in ("min", "max", "avg")]
+    none, some = values[0] & values[1] & values[2], ~(values[0] | values[1] | values[2])
+    return aggregates.filter(F.col("count").isNull() | (F.col("count") < 0) | ((F.col("count") == 0) & ~none) | ((F.col("count") > 0) & ~some))
+
+
 def aggregate_range(versioned: DataFrame, start_ns: int, end_ns: int, ids: Iterable[int] | None = None) -> DataFrame:
     """Newest-wins first, then the aggregate."""
     return aggregate_points(query_range(versioned, start_ns, end_ns, ids), start_ns, end_ns, ids)
@@ -82,12 +102,13 @@ def normalise_frames(frames: DataFrame, clock: Column | None = None) -> DataFram
     """Frames to rows of points: entries need an integer id and a numeric value, frames without one give no row.
 
     ``clock`` stands in for a missing ``ts_monotonic``. Seconds become nanoseconds by
-    truncation, as the float product does. Ids outside unsigned 32 bits are dropped too.
+    truncation, as the float product does; a time that is NaN or beyond BIGINT drops its
+    frame. Ids outside unsigned 32 bits are dropped too.
     """
     seconds = F.coalesce("ts_monotonic", clock) if clock is not None else F.col("ts_monotonic")
     entry = F.transform(F.map_values("values"), lambda v: F.struct(v["parameter_id"].try_cast("long").alias("parameter_id"), v["value"].try_cast("double").alias("value")))
     valid = F.filter(entry, lambda e: e["parameter_id"].between(0, MAX_PARAMETER_ID) & e["value"].isNotNull())
-    rows = frames.withColumn("columns", valid).withColumn("timestamp_ns", (seconds * F.lit(1e9)).cast("long"))
+    rows = frames.withColumn("columns", valid).withColumn("timestamp_ns", (seconds * F.lit(1e9)).try_cast("long"))
     return rows.filter((F.size("columns") > 0) & F.col("timestamp_ns").isNotNull()).drop("values")
 
 

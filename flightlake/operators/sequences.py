@@ -1,6 +1,6 @@
 """Order-dependent operators: gaps, batches, overflow policies, blocks, encoded sizes.
 
-Windows are partitioned by source or run, so each is one ordered stream as it arrived.
+Sources and runs are ordered streams as they arrived; a long one is cut into ranges.
 """
 
 from __future__ import annotations
@@ -8,12 +8,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flightlake.operators.batches import Limits, greedy_groups
+from flightlake.operators.ranges import with_previous, with_row_number
 
-def sequence_gaps(frames: DataFrame, by: str, order: str) -> DataFrame:
-    """(by, seq_gaps, last_seq): every seq that is not the one before plus 1 counts once; a seq that is no integer is skipped."""
+
+def sequence_gaps(frames: DataFrame, by: str, order: str, first: bool = False) -> DataFrame:
+    """(by, seq_gaps, last_seq, and first_seq if asked for): every seq that is not the one before plus 1 counts once; a seq that is no integer is skipped."""
     seq = frames.select(by, order, F.col("seq").cast("string").try_cast("long").alias("seq")).filter("seq IS NOT NULL")
-    before = F.lag("seq").over(Window.partitionBy(by).orderBy(order))
-    return seq.withColumn("gap", (F.col("seq") != before + 1).cast("long")).groupBy(by).agg(F.coalesce(F.sum("gap"), F.lit(0).cast("long")).alias("seq_gaps"), F.max_by("seq", order).alias("last_seq"))
+    least = F.lit(-(1 << 63))
+    follows = (F.col("seq") > least) & (F.col("seq") - F.when(F.col("seq") > least, 1).otherwise(0) == F.col("before"))  # the least BIGINT follows nothing
+    gap = F.when(F.col("before").isNotNull(), (~follows).cast("long"))
+    met = with_previous(seq, [by], [order], "seq", "before").withColumn("gap", gap)
+    more = [F.min_by("seq", order).alias("first_seq")] if first else []
+    return met.groupBy(by).agg(F.coalesce(F.sum("gap"), F.lit(0).cast("long")).alias("seq_gaps"), F.max_by("seq", order).alias("last_seq"), *more)
 
 
 def gaps_in_order(frames: DataFrame) -> DataFrame:
@@ -24,7 +31,8 @@ def gaps_in_order(frames: DataFrame) -> DataFrame:
     """
     seq = frames.select(F.col("seq").cast("string").try_cast("long").alias("seq")).filter("seq IS NOT NULL")
     numbers = seq.groupBy("seq").agg(F.count(F.lit(1)).alias("n"))
-    own, follower = F.struct("seq", "n", F.lit(False).alias("after")), F.struct((F.col("seq") + 1).alias("seq"), F.lit(0).cast("long").alias("n"), F.lit(True).alias("after"))
+    most = (1 << 63) - 1  # nothing follows it; a follower with no rows beside the number itself changes nothing but "after"
+    own, follower = F.struct("seq", "n", F.lit(False).alias("after")), F.struct((F.col("seq") + F.when(F.col("seq") < most, 1).otherwise(0)).alias("seq"), F.lit(0).cast("long").alias("n"), (F.col("seq") < most).alias("after"))
     met = numbers.select(F.inline(F.array(own, follower))).groupBy("seq").agg(F.sum("n").alias("n"), F.max("after").alias("after")).filter("n > 0")
     gaps = F.sum("n") - F.count(F.when(F.col("after"), 1)) - 1
     return met.agg(F.greatest(F.coalesce(gaps, F.lit(0)), F.lit(0)).cast("long").alias("seq_gaps"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
@@ -32,25 +40,28 @@ def gaps_in_order(frames: DataFrame) -> DataFrame:
 
 def batch_by_rows(rows: DataFrame, by: str, order: str, max_rows: int) -> DataFrame:
     """Adds ``batch_id``: every ``max_rows`` rows of a stream close a batch."""
-    n = F.row_number().over(Window.partitionBy(by).orderBy(order)).cast("long")
-    return rows.withColumn("batch_id", F.floor((n - 1) / max_rows).cast("long"))
+    return with_row_number(rows, [by], [order], "_n").withColumn("batch_id", F.floor((F.col("_n") - 1) / max_rows).cast("long")).drop("_n")
+
 
+def ingest_batches(rows: DataFrame, by: str, order: str, points: str, max_rows: int, max_points: int, arrived: str | None = None, max_age: int = 0) -> DataFrame:
+    """(by, order, points, batch_id): a batch closes at its ``max_rows``-th row, or once its points reach ``max_points``, or by age.
+
+    A row that arrives ``max_age`` or more after the batch's first begins the next one; 0 or less disables a limit.
+    """
+    return greedy_groups(rows, by, order, points, Limits(max_rows, max_points, max_age), time=arrived)
 
-def greedy_batches(sizes: Column, max_rows: int, max_points: int) -> Column:
-    """Batch numbers of an array of row sizes: a batch closes at its ``max_rows``-th row, or once its points reach ``max_points``; 0 or less disables."""
-    full = lambda r, p: ((F.lit(max_rows > 0)) & (r >= max_rows)) | ((F.lit(max_points > 0)) & (p >= max_points))
-    zero = lambda: F.lit(0).cast("long")
 
-    def step(s: Column, size: Column) -> Column:
-        rows, points = s["rows"] + 1, s["points"] + size
-        closed = full(rows, points)
-        return F.struct(
-            (s["batch"] + closed.cast("long")).alias("batch"), F.when(closed, zero()).otherwise(rows).alias("rows"), F.when(closed, zero()).otherwise(points).alias("points"),
-            F.concat(s["out"], F.array(s["batch"])).alias("out"),
-        )
+#: Fixed value: bytes that a buffered point counts.
+POINT_BYTES = 24
 
-    start = F.struct(zero().alias("batch"), zero().alias("rows"), zero().alias("points"), F.expr("CAST(array() AS array<bigint>)").alias("out"))
-    return F.aggregate(sizes, start, step, lambda s: s["out"])
+
+def flush_groups(appends: DataFrame, by: str, order: str, rows: str, points: str, max_rows: int, max_points: int, max_bytes: int) -> DataFrame:
+    """(by, order, points, flush_id): a buffer flushes after the append that fills its rows, points or bytes; 0 or less disables.
+
+    ``appends`` has one row for each call. Bytes are a multiple of points, so both are one limit.
+    """
+    most = [p for p in (max_points, -(-max_bytes // POINT_BYTES)) if p > 0]
+    return greedy_groups(appends, by, order, points, Limits(max_rows, min(most, default=0)), "flush_id", rows)
 
 
 def overflow(frames: DataFrame, interval: str, order: str, capacity: int, policy: str) -> DataFrame:
@@ -63,16 +74,14 @@ def overflow(frames: DataFrame, interval: str, order: str, capacity: int, policy
 
 def assign_blocks(points: DataFrame, max_points: int, by: str = "run_id") -> DataFrame:
     """(by, timestamp_ns, n_points, block_id): greedy blocks that close at the first timestamp with ``max_points`` points or more."""
-    per_time = points.groupBy(by, "timestamp_ns").agg(F.count(F.lit(1)).alias("n"))
-    ordered = per_time.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("timestamp_ns", "n"))).alias("t"))
-    numbered = ordered.select(by, F.explode(F.arrays_zip("t", greedy_batches(F.transform("t", lambda x: x["n"]), 0, max_points).alias("b"))).alias("x"))
-    return numbered.select(by, F.col("x.t.timestamp_ns").alias("timestamp_ns"), F.col("x.t.n").alias("n_points"), F.col("x.b").alias("block_id"))
+    per_time = points.groupBy(by, "timestamp_ns").agg(F.count(F.lit(1)).alias("n_points"))
+    return greedy_groups(per_time, by, "timestamp_ns", "n_points", Limits(size=max_points), "block_id")
 
 
 def timestamp_deltas(points: DataFrame, by: str) -> DataFrame:
     """Adds ``delta_ns``: the step from the point before, 0 for the first."""
-    order = Window.partitionBy(by).orderBy("timestamp_ns", "parameter_id")
-    return points.withColumn("delta_ns", F.col("timestamp_ns") - F.lag("timestamp_ns", 1).over(order)).fillna(0, ["delta_ns"])
+    met = with_previous(points, [by], ["timestamp_ns", "parameter_id"], "timestamp_ns", "_before")
+    return met.withColumn("delta_ns", F.coalesce(F.col("timestamp_ns") - F.col("_before"), F.lit(0).cast("long"))).drop("_before")
 
 
 def uvarint_length(n: Column) -> Column:

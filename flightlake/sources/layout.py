@@ -41,24 +41,33 @@ def ticks(minor_frames: Column, count: Column | int, hz: int) -> Column:
     return F.when((n <= 0) | wrong, F.raise_error(F.lit("minor frames must be within 1..minor_frames"))).otherwise(F.array_sort(F.array_distinct(tick)))
 
 
-def generate_frames(spark: SparkSession, layout: DataFrame, frames: int, hz: int, seed: int = 42, stress: bool = False) -> DataFrame:
-    """(seq, ts_monotonic, major_frame, tick, parameter_id, name, value): scheduled values, all of them under ``stress``.
+def whole_frames(spark: SparkSession, layout: DataFrame, frames: int, hz: int, seed: int = 42, stress: bool = False) -> DataFrame:
+    """(seq, ts_monotonic, major_frame, tick, values): one row a frame, with the scheduled parameters, all of them under ``stress``, or none.
 
-    ``seq`` is contiguous; frames without a scheduled parameter give no row. Values are
-    uniform by a hash of seed, seq and id: floats 0 to 1000 with 3 decimals, ints 0 to
-    10000, discretes 0 or 1, other types null.
+    ``seq`` is contiguous. ``values`` is an array of (name, parameter_id, value), by name and
+    id. Values are uniform by a hash of seed, seq and id: floats 0 to 1000 with 3 decimals,
+    ints 0 to 10000, discretes 0 or 1, other types null. Without a layout a major frame is a second.
     """
-    clock = spark.range(frames).select(F.col("id").alias("seq"), (F.col("id") / hz).alias("ts_monotonic"))
-    # The layout is validated to be a list in one file: small by its own format.
-    planned = clock.crossJoin(F.broadcast(layout.withColumn("ticks", ticks(F.col("minor_frames"), F.col("minor_frame_count"), hz))))
-    within = F.col("ts_monotonic") - F.col("major_frame") * F.col("major_frame_sec")
-    out = planned.withColumn("major_frame", F.floor(F.col("ts_monotonic") / F.col("major_frame_sec")).cast("long")).withColumn("tick", F.least(F.lit(hz - 1), F.floor(within / F.col("major_frame_sec") * hz)).cast("int"))
-    if not stress:
-        out = out.filter(F.array_contains("ticks", F.col("tick")))
-    draw = lambda n: F.pmod(F.xxhash64(F.lit(seed), "seq", "parameter_id"), F.lit(n))
-    kind = F.lower("type")
-    value = F.when(kind == "float", draw(1_000_001) / 1000.0).when(kind == "int", draw(10_001).cast("double")).when(kind == "discrete", draw(2).cast("double"))
-    return out.select("seq", "ts_monotonic", "major_frame", "tick", "parameter_id", "name", value.alias("value"))
+    planned = layout.withColumn("ticks", ticks(F.col("minor_frames"), F.col("minor_frame_count"), hz))
+    # The layout is one file that the driver validated, so its entries fit one row.
+    entry = F.struct("name", "parameter_id", F.lower("type").alias("kind"), "ticks")
+    one = planned.agg(F.array_sort(F.collect_list(entry)).alias("entries"), F.coalesce(F.max("major_frame_sec"), F.lit(1.0)).alias("major_sec"))
+    clock = spark.range(frames).select(F.col("id").alias("seq"), (F.col("id") / hz).alias("ts_monotonic")).crossJoin(F.broadcast(one))
+    within = F.col("ts_monotonic") - F.col("major_frame") * F.col("major_sec")
+    timed = clock.withColumn("major_frame", F.floor(F.col("ts_monotonic") / F.col("major_sec")).cast("long")).withColumn("tick", F.least(F.lit(hz - 1), F.floor(within / F.col("major_sec") * hz)).cast("int"))
+    due = F.col("entries") if stress else F.filter("entries", lambda e: F.array_contains(e["ticks"], F.col("tick")))
+
+    def value(e: Column) -> Column:
+        draw = lambda n: F.pmod(F.xxhash64(F.lit(seed), F.col("seq"), e["parameter_id"]), F.lit(n))
+        drawn = F.when(e["kind"] == "float", draw(1_000_001) / 1000.0).when(e["kind"] == "int", draw(10_001).cast("double")).when(e["kind"] == "discrete", draw(2).cast("double"))
+        return F.struct(e["name"].alias("name"), e["parameter_id"].alias("parameter_id"), drawn.alias("value"))
+
+    return timed.select("seq", "ts_monotonic", "major_frame", "tick", F.transform(due, value).alias("values"))
+
+
+def generate_frames(spark: SparkSession, layout: DataFrame, frames: int, hz: int, seed: int = 42, stress: bool = False) -> DataFrame:
+    """(seq, ts_monotonic, major_frame, tick, name, parameter_id, value): a row for each value of ``whole_frames``; empty frames give none."""
+    return whole_frames(spark, layout, frames, hz, seed, stress).select("seq", "ts_monotonic", "major_frame", "tick", F.inline("values"))
 
 
 def linear_series(spark: SparkSession, ranges: list[tuple[int, float, float]], seconds: float, per_second: int) -> DataFrame:

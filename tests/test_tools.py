@@ -3,7 +3,6 @@
 import json
 import logging
 import math
-import random
 
 import pytest
 
@@ -23,10 +22,13 @@ def test_takeoff_series(spark):
     assert rows[0, n1] == 35 and rows[end, n1] == pytest.approx(88)
     assert min(v for (_, p), v in rows.items() if p == baro) == 0
     # At 45.5 s the profile, and the noise between the anchors at 42 and 48 s, by hand.
-    seed = 17
-    for c in "BaroAltitude":
-        seed = seed * 131 + ord(c)
-    left, right = (random.Random(seed + k * 1009).uniform(-1, 1) for k in (7, 8))
+    def noise(k):
+        x = (takeoff.NAMES.index("BaroAltitude") * 99991 + k * 7368787 + 1234577) % (2**31 - 1)
+        return x * x % (2**31 - 1) * 48271 % (2**31 - 1) * 2 / (2**31 - 1) - 1
+
+    left, right = noise(7), noise(8)
+    spread = [noise(k) for k in range(20)]
+    assert min(spread) < -0.5 and max(spread) > 0.5
     b, r = 45.5 / 6 - 7, 0.5 / 35
     expected = 900 + 2900 * r * r * (3 - 2 * r) + (left + (right - left) * b * b * (3 - 2 * b)) * 70
     assert rows[45_500_000_000, baro] == pytest.approx(expected)
@@ -42,11 +44,13 @@ def test_takeoff_limits(spark):
 
 def test_settings(tmp_path):
     (tmp_path / ".env").write_text("# note\nHZ=4\nSTORAGE__FLUSH_MAX_ROWS='7'\nOTHER=1\n")
-    got = S.load({"STORAGE__COMPACTION_MIN_TABLES": "9", "hz": "16", "INGEST__IDLE_SLEEP_MS": "2.5", "STORAGE__CLEANUP_TEMP_ON_STARTUP": "no"}, tmp_path / ".env")
-    assert (got.hz, got.storage.flush_max_rows, got.storage.compaction_min_tables, got.ingest.idle_sleep_ms) == (16, 7, 9, 2.5)
-    assert got.storage.cleanup_temp_on_startup is False and S.load({}, tmp_path / "none") == S.Settings()
+    got = S.load({"STORAGE__COMPACTION_MIN_TABLES": "9", "hz": "16", "INGEST__OVERFLOW_POLICY": "block"}, tmp_path / ".env")
+    assert (got.hz, got.storage.flush_max_rows, got.storage.compaction_min_tables, got.ingest.overflow_policy) == (16, 7, 9, "block")
+    assert S.load({}, tmp_path / "none") == S.Settings(S.DEFAULTS) != got and S.load({}, tmp_path / "none").ingest.batch_max_ms == 50
+    with pytest.raises(AttributeError):
+        got.other
     with pytest.raises(ValueError):
-        S.load({"STORAGE__SSTABLE_FORMAT": "v9"}, tmp_path / "none")
+        S.load({"STORAGE__COMPACTION_MIN_TABLES": "1"}, tmp_path / "none")
     with pytest.raises(ValueError):
         S.load({"HZ": "fast"}, tmp_path / "none")
 
@@ -110,8 +114,8 @@ def test_commands(spark, tmp_path, capsys):
     assert cli.main([*store, "query", "--start-ts-ns", "0", "--end-ts-ns", "1000000000", "--parameter-ids", "1"]) == 0
     assert len(capsys.readouterr().out.splitlines()) == 2
     assert cli.main(["plot-flight-live", "--samples-per-second", "1", "--flt-file", str(flt)]) == 0
-    assert len(capsys.readouterr().out.splitlines()) == 121 * 8
+    assert len(capsys.readouterr().out.splitlines()) == 121 * 10 + 10
     assert cli.main(["plot-flight-demo", "--target-seconds", "2", "--flt-file", str(flt)]) == 0
-    assert len(capsys.readouterr().out.splitlines()) == 9 * 8
+    assert len(capsys.readouterr().out.splitlines()) == 9 * 10 + 10
     assert cli.main(["printer", "--duration", "1", "--hz", "4", "--stress", "--flt-file", str(flt)]) == 0
     assert len(capsys.readouterr().out.splitlines()) == 40
