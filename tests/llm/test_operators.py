@@ -451,6 +451,69 @@ def test_toxicity_learns_a_word(spark, none, odd):
     assert toxicity.score(odd, model).count() == odd.count() and toxicity.score(none, model).count() == 0
 
 
+def plain_toxicity(texts, labels):
+    """Weights by n-gram hash and the bias: counts by dictionary, dense matrix, gradient steps to the optimum."""
+    own = [sorted({int(h) for part in toxicity._hashes(t) for h in part}) for t in texts]
+    y, n = np.array(labels, float), len(texts)
+    names = sorted({h for o in own for h in o})
+    x = np.zeros((n, len(names)))
+    for i, o in enumerate(own):
+        x[i, [names.index(h) for h in o]] = 1
+    p, share = y.sum(), y.mean()
+
+    def ratio(a, b):
+        return np.log((a + toxicity.SMOOTHING * share) / p) - np.log((b + toxicity.SMOOTHING * (1 - share)) / (n - p))
+
+    a, b = y @ x, (1 - y) @ x
+    seen = x * ratio(a - y[:, None], b - (1 - y)[:, None])
+    weight, w, bias = np.where(y > 0, toxicity.TOXIC_WEIGHT, 1.0), np.zeros(len(names)), 0.0
+    step = 1 / (toxicity.TOXIC_WEIGHT / 4 * ((seen**2).sum(1).max() + 1) + toxicity.L2)
+    v, vb = w, bias
+    for k in range(30_000):
+        g = weight * (1 / (1 + np.exp(-(seen @ v + vb))) - y)
+        w2, b2 = v - step * (seen.T @ g + toxicity.L2 * v), vb - step * g.sum()
+        v, vb = w2 + k / (k + 3) * (w2 - w), b2 + k / (k + 3) * (b2 - bias)
+        w, bias = w2, b2
+    return dict(zip(names, w * ratio(a, b))), bias
+
+
+def test_toxicity_matches_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "CHUNK", 16)  # texts are hashed in many parts
+    monkeypatch.setattr(toxicity, "BLOCK", 50)
+    monkeypatch.setattr(toxicity, "STEPS", 200)
+    rng = np.random.default_rng(4)
+    words = ["river", "stone", "light", "you idiot", "paper", "Season"]
+    rows = [(i, " ".join(rng.choice(words, 6))) for i in range(60)]
+    rows = [(i, t, int("idiot" in t) if i % 9 else int("river" in t)) for i, t in rows]
+    docs = spark.createDataFrame([(i, t, t, 1.0) for i, t, _ in rows] + [(900, None, None, None)], "doc_id long, text string, body string, place double").repartition(3)
+    labels = spark.createDataFrame([(i, y, "x") for i, _, y in rows] + [(3, 0, "x"), (5, None, "x"), (None, 1, "x")], "doc_id long, toxic int, text string")
+    used = [(t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    weights, bias = plain_toxicity(*zip(*used))
+    model = toxicity.fit(docs, labels)
+    assert model.bias == pytest.approx(bias, abs=2e-3) and int(np.count_nonzero(model.weights)) <= len(weights)
+    np.testing.assert_allclose(model.weights[list(weights)], list(weights.values()), atol=2e-3)
+    got = by_id(toxicity.score(docs, model))
+    for i, t, _ in rows:
+        z = bias + sum(weights.get(int(h), 0) for h in toxicity.features(t))
+        assert got[i]["score"] == pytest.approx(1 / (1 + np.exp(-z)), abs=2e-3)
+    assert got[900]["score"] == pytest.approx(1 / (1 + np.exp(-model.bias)))
+
+
+def test_toxicity_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(i, "x" * 10) for i in range(200)] + [(7, "x" * 10)] * 300, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    rows = toxicity.sample(docs, labels, 20).collect()
+    assert len({r["doc_id"] for r in rows}) <= 20 and len(rows) <= 40 and not any(zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2 for r in rows)
+    assert toxicity.sample(docs, labels, 20, max_chars=55).count() == 6 and toxicity.sample(docs, labels, 20, max_chars=1).count() == 1
+
+
+def test_threshold_counts_from_itself_on(spark):
+    docs = spark.createDataFrame([(1, "abc")], "doc_id long, text string")
+    exact = toxicity.Model(np.zeros(1 << toxicity.HASH_BITS), 0.0)
+    row = toxicity.score(docs, exact).first()
+    assert (row["score"], row["predicted"]) == (0.5, 1)
+
+
 def test_warc_round_trip(spark):
     pages = [(7, "http://x/a b", "<p>same</p>"), (3, "http://x/ü", "<p>same</p>"), (5, None, None), (9, "http://x/\r\nEvil: 1", ""), (11, "http://x", "a\r\n\r\nWARC/1.1\r\n" * 2000), (12, "u", "日本")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumnRenamed("url", "url")
