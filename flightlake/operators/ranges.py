@@ -14,17 +14,26 @@ BUCKET_ROWS = 1 << 18
 FAN_OUT = 64
 
 
-def bucket_of(df: DataFrame, column: str, rows: float = 0.0, total: int | None = None) -> Column | None:
+def place_among(value: Column, lows: list[float]) -> Column:
+    """From 1: the place of the last of the rising ``lows`` that is not above ``value``, 1 for less; in two steps of some ``FAN_OUT`` literals."""
+    width = max(1, -(-len(lows) // FAN_OUT))
+    groups = [lows[i : i + width] for i in range(0, len(lows), width)]
+    array = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
+    upto = lambda xs: F.greatest(F.lit(1), F.size(F.filter(xs, lambda low: low <= value)))
+    outer = upto(array([g[0] for g in groups]))
+    return (outer - 1) * width + upto(F.element_at(F.array(*map(array, groups)), outer))
+
+
+def bucket_of(df: DataFrame, column: str, rows: int = 0) -> Column | None:
     """A monotone bucket number of the numeric ``column`` with about ``rows`` rows of ``df`` each; None if one bucket will do.
 
     Bounds are quantiles of the whole column, as literals, so that the number depends on the
     value alone and a task that runs again deals its rows alike. Nulls fall into bucket -1.
-    ``total`` may give what the buckets are to hold in other units than rows, as bytes.
     """
     rows = rows or BUCKET_ROWS
     value = F.col(column).cast("double")
     s = df.agg(F.count(column).alias("n"), F.min(value).alias("a"), F.max(value).alias("b")).first()
-    n = s["n"] if total is None else total
+    n = s["n"]
     if n <= rows or s["a"] is None or s["a"] == s["b"]:
         return None
     wanted = -int(-n // rows)
@@ -33,13 +42,8 @@ def bucket_of(df: DataFrame, column: str, rows: float = 0.0, total: int | None =
     lows = [s["a"], *sorted({x for x in bounds if x > s["a"]})]
     spans = [max(b - a, 1e-300) for a, b in zip(lows, [*lows[1:], s["b"]])]
     parts = -(-wanted // k)
-    width = -(-len(lows) // FAN_OUT)
-    groups = [lows[i : i + width] for i in range(0, len(lows), width)]
     array = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
-    upto = lambda xs, x: F.greatest(F.lit(1), F.size(F.filter(xs, lambda low: low <= x)))
-    outer = upto(array([g[0] for g in groups]), value)
-    inner = upto(F.element_at(F.array(*map(array, groups)), outer), value)
-    at = (outer - 1) * width + inner  # from 1
+    at = place_among(value, lows)
     if parts == 1:
         out = at - 1
     else:
