@@ -14,7 +14,8 @@ from flightlake.llm.common import table
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+    runs = F.array_join(F.transform("keep_bitmap", lambda r: F.concat_ws(":", r["start"].cast("string"), r["length"].cast("string"))), ",")
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"), runs.alias("keep_bitmap"))
 
 
 def op2_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,10 +75,12 @@ ORACLE: dict[str, str] = {
             SELECT key, max(doc_id) AS last_doc FROM k WHERE length(key) >= 40
             GROUP BY key HAVING count(DISTINCT doc_id) >= 5
         )
-        SELECT k.doc_id, count(*)::BIGINT AS n_lines,
-               (count(*) FILTER (WHERE c.key IS NOT NULL AND k.doc_id <> c.last_doc))::BIGINT AS n_dropped,
-               sha256(coalesce(string_agg(k.line, chr(10) ORDER BY k.pos) FILTER (WHERE c.key IS NULL OR k.doc_id = c.last_doc), '')) AS kept_sha256
-        FROM k LEFT JOIN c ON k.key = c.key GROUP BY k.doc_id
+        , f AS (SELECT k.doc_id, k.pos, k.line, c.key IS NULL OR k.doc_id = c.last_doc AS kept FROM k LEFT JOIN c ON k.key = c.key),
+        r AS (SELECT doc_id, min(pos) AS a, count(*) AS n FROM (SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM f WHERE kept) GROUP BY doc_id, run),
+        b AS (SELECT doc_id, string_agg(a || ':' || n, ',' ORDER BY a) AS runs FROM r GROUP BY doc_id)
+        SELECT f.doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (WHERE NOT kept))::BIGINT AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE kept), '')) AS kept_sha256, coalesce(any_value(b.runs), '') AS keep_bitmap
+        FROM f LEFT JOIN b ON b.doc_id = f.doc_id GROUP BY f.doc_id
     """,
     "op7_exact_dedup": rf"""
         WITH n AS (

@@ -8,9 +8,10 @@ in three stages, each of them comparing the full normalised text beside its dige
    third of all rows spreads over as many tasks as there are salts;
 3. *global*: only the winner of each salt goes on and the best of those is kept.
 
-A group's row ids travel as one array per salt, bounded by the rows of ``fan_in``
-input partitions; an array of salt winners is bounded by the number of salts. The
-verdict goes back to the salts by a join on ids; no text is joined.
+A group's row ids travel as one array per salt, of at most ``fan_in`` times
+``BLOCK_ROWS`` rows: a salt is a block of neighbouring rows in neighbouring partitions.
+An array of salt winners has one entry for so many rows. The verdict goes back to the
+salts by a join on ids; no text is joined.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flightlake.llm.common import text_of
+from flightlake.llm.common import text_of, unused, written
 
+#: Rows of an input partition that share a salt.
+BLOCK_ROWS = 1 << 12
 #: Characters that equality ignores: space, tab, newline, vertical tab, form feed, return.
 IGNORED = " \t\n\x0b\x0c\r"
 
@@ -34,10 +37,11 @@ def normalised(text: Column) -> Column:
 
 def _rows(docs: DataFrame, fan_in: int) -> DataFrame:
     """(member, body, salt, digest): what orders a row in its group, and its group."""
+    block = F.floor(F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) / F.lit(BLOCK_ROWS))  # the low bits count a partition's rows
     return docs.select(
         F.struct((-F.length(text_of())).alias("shorter"), F.col("doc_id").alias("id")).alias("member"),
         normalised(text_of()).alias("body"),
-        F.floor(F.spark_partition_id() / F.lit(fan_in)).alias("salt"),
+        F.struct(F.floor(F.spark_partition_id() / F.lit(fan_in)).alias("part"), block.alias("block")).alias("salt"),
     ).withColumn("digest", F.sha2("body", 256))
 
 
@@ -87,11 +91,17 @@ def keep_unique(docs: DataFrame, fan_in: int = 16) -> DataFrame:
 
     The winners form in the same three stages; no other row's id is gathered, so text goes
     through two exchanges for them and one for the columns. Of repeated rows with one
-    id, text length and digest one stays. An empty table gives no rows.
+    id, text length and digest one stays. A null text is empty. An empty table gives no
+    rows. Who goes for whom stays beside, in the written table ``exact_classes-*`` of the
+    shared folder: doc_id, text_sha256, keep_id.
     """
     winner = F.min("member").alias("member")
     best = _rows(docs, fan_in).groupBy("digest", "body", "salt").agg(winner).groupBy("digest", "body").agg(winner)
     key = lambda doc_id, shorter, digest: F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), shorter, digest)
-    stay = best.select(key(F.col("member.id"), F.col("member.shorter"), F.col("digest")).alias("_flightlake_key"))
-    own = docs.withColumn("_flightlake_key", key(F.col("doc_id"), -F.length(text_of()), F.sha2(normalised(text_of()), 256)))
-    return own.join(stay, "_flightlake_key", "left_semi").dropDuplicates(["_flightlake_key"]).select(*docs.columns)
+    stay = written(best.select("digest", F.col("member.id").alias("id"), F.col("member.shorter").alias("shorter")), "exact_kept")
+    digest, name = F.sha2(normalised(text_of()), 256), unused("key", docs.columns)
+    rows = docs.select(F.col("doc_id"), digest.alias("digest"))
+    # Ids and digests only; a kept text stands once, so its copies can be split at runtime.
+    written(rows.join(stay.select("digest", F.col("id").alias("keep_id")), "digest").select("doc_id", F.col("digest").alias("text_sha256"), "keep_id"), "exact_classes")
+    own = docs.withColumn(name, key(F.col("doc_id"), -F.length(text_of()), digest))
+    return own.join(stay.select(key(F.col("id"), F.col("shorter"), F.col("digest")).alias(name)), name, "left_semi").dropDuplicates([name]).select(*docs.columns)

@@ -10,15 +10,20 @@ fingerprints is 1 if they are equal and 0 otherwise.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flightlake.llm.common import text_of, written
+from flightlake.operators.ranges import place_among
 
-#: Buckets of neighbouring ids: quantile intervals, each cut evenly into at most so many parts.
-INTERVALS, MOST_PARTS, BUCKET_ROWS = 64, 128, 1000
+#: Bytes of text that a bucket of neighbouring ids holds on average: a part of the table, within these bounds.
+BUCKET_SHARE, LEAST_BUCKET, MOST_BUCKET = 1 / 2000, 2 << 20, 256 << 20
+#: Quantiles of ids that are looked up; each is cut evenly further in larger tables.
+QUANTILES = 4096
 
 
 def canonical(text: Column) -> Column:
@@ -32,39 +37,67 @@ def wide_hash(canon: Column) -> Column:
     return F.lower(F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(seed), canon)), 16, "0") for seed in (1, 2)]))
 
 
-def _buckets(ids: DataFrame) -> tuple[Callable[[Column], Column], list[tuple]]:
-    """A monotone bucket of an id, and (first id, bucket before) of each bucket; at most 8192 of them."""
-    quantiles = [i / INTERVALS for i in range(1, INTERVALS)]
-    s = ids.agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.percentile_approx("doc_id", quantiles, 10_000).alias("q")).first()
-    if s["a"] is None:
-        bucket = lambda _: F.lit(0)
-    else:
-        bounds = [s["a"], *sorted({x for x in s["q"] if x > s["a"]}), s["b"] + 1]
-        parts = max(1, min(MOST_PARTS, s["n"] // (INTERVALS * BUCKET_ROWS)))
-        lows, spans = F.array(*[F.lit(float(x)) for x in bounds[:-1]]), F.array(*[F.lit(float(max(1, y - x))) for x, y in zip(bounds, bounds[1:])])
-
-        def bucket(i: Column) -> Column:
-            k = F.greatest(F.lit(1), F.size(F.filter(lows, lambda x: x <= i.cast("double"))))
-            inside = F.floor((i.cast("double") - F.element_at(lows, k)) * parts / F.element_at(spans, k))
-            return F.coalesce((k - 1) * parts + F.least(F.lit(parts - 1), F.greatest(F.lit(0), inside)), F.lit(0)).cast("int")
+def _cuts(docs: DataFrame) -> tuple[list[float], list[int], list[bool], int]:
+    """(first ids of intervals, buckets of each, whether it holds one id alone, buckets of null ids).
 
-    first = ids.select(bucket(F.col("doc_id")).alias("b"), F.struct(F.col("doc_id").isNotNull(), "doc_id").alias("k")).groupBy("b").agg(F.min("k.doc_id").alias("i"), F.min("k").alias("k"))
-    rows = sorted((r["b"], r["k"]["doc_id"]) for r in first.collect())
-    return bucket, [(i, rows[n - 1][0]) for n, (_, i) in enumerate(rows)]
+    An id that takes several quantiles gets an interval of its own, which is cut by the texts' hashes.
+    """
+    n = docs.agg(
+        F.sum(F.octet_length("body")).alias("bytes"), F.count(F.lit(1)).alias("rows"), F.count("doc_id").alias("ids"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")
+    ).first()
+    size = (n["bytes"] or 0) + n["rows"]
+    wanted = max(1, -int(-size // min(MOST_BUCKET, max(LEAST_BUCKET, size * BUCKET_SHARE))))
+    nulls = max(1, -(-wanted * (n["rows"] - n["ids"]) // max(1, n["rows"])))
+    if n["a"] is None:
+        return [], [], [], nulls
+    k = min(wanted, QUANTILES)
+    found = docs.agg(F.percentile_approx("doc_id", [i / k for i in range(1, k)], 20 * k)).first()[0] if k > 1 else []
+    taken = Counter(found)
+    hot = {x for x, c in taken.items() if c > 1}
+    lows = sorted({n["a"], *taken, *(x + 1 for x in hot if x < n["b"])})
+    each = -(-wanted // k)
+    alone = [x in hot and (i + 1 == len(lows) or lows[i + 1] == x + 1) for i, x in enumerate(lows)]
+    return [float(x) for x in lows], [each * taken.get(x, 1) if one else each for x, one in zip(lows, alone)], alone, nulls
+
+
+def _buckets(docs: DataFrame) -> tuple[Column, DataFrame]:
+    """The bucket of a row of (doc_id, text_hash), rising in that order, and (first_id, first_hash, before): each bucket's first row and the bucket before."""
+    lows, parts, alone, nulls = _cuts(docs)
+    # Texts' hashes fall evenly, so equal ranges of them are equal parts.
+    by_hash = (F.col("text_hash").cast("double") + float(1 << 63)) / float(1 << 64)
+    share = lambda x, n: F.least(n - 1, F.greatest(F.lit(0), F.floor(x * n)))
+    bucket = share(by_hash, F.lit(nulls)) - nulls
+    if lows:
+        value, array = F.col("doc_id").cast("double"), lambda xs: F.array(*map(F.lit, xs))
+        spans = [max(1.0, b - a) for a, b in zip(lows, [*lows[1:], lows[-1] + 1])]
+        at = place_among(value, lows)
+        if any(p > 1 for p in parts):
+            before = list(accumulate(parts, initial=0))[:-1]
+            inside = F.when(F.element_at(array(alone), at), by_hash).otherwise((value - F.element_at(array(lows), at)) / F.element_at(array(spans), at))
+            at = F.element_at(array(before), at) + share(inside, F.element_at(array(parts), at)) + 1
+        bucket = F.when(F.col("doc_id").isNull(), bucket).otherwise(at - 1)
+    bucket = bucket.cast("long")
+    order = F.struct(F.col("doc_id").isNotNull(), "doc_id", "text_hash")
+    first = docs.select(bucket.alias("b"), order.alias("k")).groupBy("b").agg(F.min("k").alias("k"))
+    rows = sorted((r["b"], r["k"]["doc_id"], r["k"]["text_hash"]) for r in first.collect())  # a few numbers for each bucket
+    edges = [(i, h, rows[n - 1][0]) for n, (_, i, h) in enumerate(rows)]
+    return bucket, docs.sparkSession.createDataFrame(edges, "first_id long, first_hash long, before long")
 
 
 def with_next(docs: DataFrame, more: Callable[[Column], list[Column]]) -> DataFrame:
     """(doc_id, body, text_hash, *more, next_*): each row and the next in order of (doc_id, text hash), after the last the first.
 
-    Rows are dealt by bucket of the id; the first document of a bucket is also put at the end of the bucket before.
+    Rows are dealt by bucket of the id, and of the text's hash where many rows have one id;
+    the first document of a bucket is also put at the end of the bucket before.
     """
-    spark = docs.sparkSession
-    bucket, firsts = _buckets(docs.select("doc_id"))
-    edge = F.broadcast(spark.createDataFrame(firsts, "first_id long, before int"))  # one row for each bucket
-    rows = docs.select("doc_id", text_of().alias("body")).select("doc_id", "body", F.xxhash64("body").alias("text_hash"), *more(F.col("body")))
+    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("body")).withColumn("text_hash", F.xxhash64("body"))
+    bucket, edges = _buckets(hashed)
+    rows = hashed.select("doc_id", "body", "text_hash", *more(F.col("body")))
     names = rows.columns
-    places = F.filter(F.array(F.struct(bucket(F.col("doc_id")).alias("b"), F.lit(0).alias("extra")), F.struct(F.col("before").alias("b"), F.lit(1).alias("extra"))), lambda p: p["b"].isNotNull())
-    dealt = rows.join(edge, F.col("doc_id").eqNullSafe(F.col("first_id")), "left").select(*names, F.explode(places).alias("at")).select(*names, "at.b", "at.extra")
+    places = F.filter(F.array(F.struct(bucket.alias("b"), F.lit(0).alias("extra")), F.struct(F.col("before").alias("b"), F.lit(1).alias("extra"))), lambda p: p["b"].isNotNull())
+    at_edge = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))
+    # A row for each bucket; Spark broadcasts them if their size allows.
+    dealt = rows.join(edges, at_edge, "left").select(*names, F.explode(places).alias("at")).select(*names, "at.b", "at.extra")
     order = Window.partitionBy("b").orderBy("extra", F.col("doc_id").asc_nulls_first(), "text_hash")
     return dealt.select(*names, "extra", *[F.lead(c).over(order).alias(f"next_{c}") for c in names]).filter("extra = 0").drop("extra")
 

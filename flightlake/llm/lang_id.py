@@ -15,21 +15,37 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flightlake.llm.common import held_out, text_of
+from flightlake.llm.common import held_out, text_of, unused, written
 
 DIMENSIONS = 1024
 SEED = 20_24
 NONE = "und"
 #: Texts whose vectors are formed together, and the code points that such a batch may hold.
 BATCH_TEXTS, BATCH_CHARS = 64, 1_000_000
-#: Texts of so many trigrams or more are no language that was learned if their cosine is below the score.
-#: Noise of a cosine has a deviation of 0.03, so less text says nothing; even prose unlike the training texts has 0.18 and more there.
-MIN_SCORE, MIN_TRIGRAMS = 0.06, 128
+#: Texts of so many trigrams or more are judged by their cosine; the noise of a cosine has a deviation of 0.03, so less text says too little.
+MIN_TRIGRAMS = 128
+#: Such a text is of no learned language if its cosine is below this share of the least that any such labelled text has with its own language,
+#: or within so many deviations of the noise.
+SHARE_OF_LEAST, DEVIATIONS = 0.5, 2.0
 
-_GAP = re.compile(r"[\W\d_]+")
+#: What lies between words: all but letters (Unicode category L) and the marks on them (M).
+_GAP = regex.compile(r"[^\p{L}\p{M}]+")
+_LETTER = regex.compile(r"\p{L}")
+#: Texts of Latin characters only, where no mark stands alone and the faster pattern cuts alike.
+_LATIN = re.compile("[\x00-\u024f]*")
+_LATIN_GAP = re.compile("[\\W\\d_²³¹¼-¾]+")
+
+
+def words_only(text: str) -> str:
+    """The lower-cased text with one space for all that lies between words; empty without a letter."""
+    text = text.lower()
+    if _LATIN.fullmatch(text):
+        return _LATIN_GAP.sub(" ", text).strip()
+    return _GAP.sub(" ", text).strip() if _LETTER.search(text) else ""
 
 
 class Encoder:
@@ -57,7 +73,7 @@ class Encoder:
     @staticmethod
     def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
         """Different trigrams of the lower-cased text, and how often each occurs; none if it has no letter."""
-        plain = _GAP.sub(" ", text.lower()).strip()
+        plain = words_only(text)
         if not plain:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         c = np.frombuffer(f" {plain} ".encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
@@ -160,24 +176,54 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, *train(docs))
 
 
-def keep_known(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows of ``docs`` whose text has letters and may be of a learned language; columns unchanged.
+def judged(docs: DataFrame, name: str) -> tuple[DataFrame, float]:
+    """(``docs`` with a struct ``name`` of lang_pred, score, evidence, own; the least score that passes), as a written table.
 
-    Only a text of at least ``MIN_TRIGRAMS`` trigrams with a score below ``min_score`` is
-    known to be of no learned language; shorter ones stay. None stays if no language was learned.
+    ``own`` is the score with the labelled language, null for held-out rows and those
+    without a learned label. The least passing score is a share of the least ``own`` of
+    texts with at least ``MIN_TRIGRAMS`` trigrams, and above the noise in any case.
     """
     langs, prototypes = train(docs)
+    kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("evidence", pa.float64()), ("own", pa.float64())])
+    place = {lang: k for k, lang in enumerate(langs)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder()
         for batch in batches:
-            stay = []
+            found = []
             filled = batch.set_column(batch.schema.get_field_index("text"), "text", batch.column("text").fill_null(""))
-            for _, texts in _chunks(filled, "text"):
+            labels = batch.column("lang").to_pylist()
+            for at, texts in _chunks(filled, "text"):
                 vectors = encoder.vectors(texts)
-                best = (vectors @ prototypes.T).max(1) if langs else np.zeros(len(texts))
-                known = (vectors != 0).any(1) if langs else np.zeros(len(texts), bool)
-                stay += [bool(ok and (c >= min_score or encoder.evidence(t) < MIN_TRIGRAMS)) for ok, c, t in zip(known, best, texts)]
-            yield batch.filter(pa.array(stay, pa.bool_()))
+                cosines = np.clip(vectors @ prototypes.T, 0, 1).astype(np.float64) if langs else np.zeros((len(texts), 1))
+                for i, t in enumerate(texts):
+                    known, label = bool(vectors[i].any()), str(labels[at + i]) if labels[at + i] is not None else None
+                    best = int(cosines[i].argmax())
+                    found.append({
+                        "lang_pred": langs[best] if known and langs else NONE, "score": float(cosines[i, best]) if known else 0.0,
+                        "evidence": encoder.evidence(t) if known else 0.0, "own": float(cosines[i, place[label]]) if known and label in place else None,
+                    })
+            yield batch.set_column(batch.num_columns - 1, name, pa.array(found, kind))
+
+    blank = F.lit(None).cast("struct<lang_pred: string, score: double, evidence: double, own: double>")
+    given = docs.withColumn(name, blank)
+    scored = written(given.mapInArrow(run, given.schema), "languages")
+    counted = scored.filter(~held_out(F.col("doc_id")) & (F.col(f"{name}.evidence") >= MIN_TRIGRAMS))
+    least = counted.agg(F.min(f"{name}.own")).first()[0]
+    return scored, max(SHARE_OF_LEAST * (least or 0.0), DEVIATIONS / DIMENSIONS**0.5)
+
+
+def keep_known(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose text has letters and may be of a learned language; columns unchanged.
 
-    return docs.mapInArrow(run, docs.schema)
+    A text of at least ``MIN_TRIGRAMS`` trigrams goes if its score is below the least that
+    ``judged`` lets pass; shorter ones with a letter stay, and so does every text with a
+    letter if no language was learned. Null texts go. Repeated rows and null ids are judged
+    each on its own; an empty table gives no rows. The predictions stay beside, in the
+    written table ``languages-*`` of the shared folder.
+    """
+    name = unused("language", docs.columns)
+    scored, least = judged(docs, name)
+    found = F.col(name)
+    stay = (found["evidence"] > 0) & ((found["evidence"] < MIN_TRIGRAMS) | (found["score"] >= least))
+    return scored.filter(stay).select(*docs.columns)

@@ -42,7 +42,9 @@ def drop_positions(docs: DataFrame, min_length: int = 40, min_docs: int = 5) ->
         .filter(F.length("key") >= min_length)
         .select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc_id", "text_hash", "pos")
     )
-    ranges = lines.repartitionByRange("h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "text_hash", "pos")
+    # Hashes are few bytes a line; written, they are not computed again when the ranges are sampled.
+    hashes = written(lines, "line_hashes_unsorted")
+    ranges = hashes.repartitionByRange("h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "text_hash", "pos")
     held = written(ranges.groupBy("h1", "h2", "doc_id").agg(F.collect_list(F.struct("text_hash", "pos")).alias("at")), "line_hashes")
     common = written(
         held.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc")).filter(F.col("n_docs") >= min_docs).select("h1", "h2", "last_doc"), "line_common"

@@ -1,10 +1,12 @@
 """Best-fit packing of tokenised documents into sequences, hierarchical by residuals.
 
-Each partition packs its pieces best-fit, longest first, and emits the bins that are
-nearly full. Underfull bins are the items of the next round, where ``FAN_IN`` times fewer
-tasks pack them again, until one task holds the rest or the rest stops to shrink. A bin
-carries its pieces along, at most one for each token of its size; a task packs at most
-about ``MAX_ITEMS`` bins, so more items mean more tasks, not larger ones.
+Each partition packs its pieces best-fit, longest first, ``MAX_ITEMS`` at a time, and emits
+the bins that are nearly full. Underfull bins are the items of the next round, where
+``FAN_IN`` times fewer tasks pack them again, until one task holds the rest. A bin carries
+its pieces along, at most one for each token of its size; a task packs at most about
+``MAX_ITEMS`` bins, so more items mean more tasks, not larger ones. Bins that not even the
+least full one would fit into are done as they are; when no two fit, or a round of many
+tasks joined none, all are.
 """
 
 from __future__ import annotations
@@ -136,25 +138,41 @@ def best_fit(lengths: list[int], size: int = SIZE) -> list[list[int]]:
     return bins
 
 
-def _emit(items: list[tuple[int, list[dict]]], level: int, size: int, last: bool) -> Iterator[pa.RecordBatch]:
-    """Packs (length, pieces) items and yields the bins."""
-    from pyspark import TaskContext
+_NAMES = ("doc_id", "piece", "start", "length", "ids_crc32")
 
-    base = (level << 56) | (TaskContext.get().partitionId() << 32)
-    rows = []
-    for k, members in enumerate(best_fit([n for n, _ in items], size)):
-        used = sum(items[i][0] for i in members)
-        rows.append({"used": used, "full": last or size - used <= NEARLY_FULL, "bin": base + k, "pieces": [p for i in members for p in items[i][1]]})
-        if len(rows) == 1024:
+
+class _Packer:
+    """Packs (length, pieces as tuples) items of one task, so many at a time, and gives the bins."""
+
+    def __init__(self, level: int, size: int, most: int):
+        from pyspark import TaskContext
+
+        self.size, self.most, self.items = size, most, []
+        self.next_bin = (level << 56) | (TaskContext.get().partitionId() << 32)
+
+    def add(self, length: int, pieces: list[tuple]) -> Iterator[pa.RecordBatch]:
+        self.items.append((length, pieces))
+        if len(self.items) >= self.most:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        rows, items = [], self.items
+        self.items = []
+        for members in best_fit([n for n, _ in items], self.size):
+            used = sum(items[i][0] for i in members)
+            pieces = [dict(zip(_NAMES, p)) for i in members for p in items[i][1]]
+            rows.append({"used": used, "full": self.size - used <= NEARLY_FULL, "bin": self.next_bin, "pieces": pieces})
+            self.next_bin += 1
+            if len(rows) == 1024:
+                yield pa.RecordBatch.from_pylist(rows, schema=_BINS)
+                rows = []
+        if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=_BINS)
-            rows = []
-    if rows:
-        yield pa.RecordBatch.from_pylist(rows, schema=_BINS)
 
 
-def _local(docs: DataFrame, path: str, size: int) -> DataFrame:
+def _local(docs: DataFrame, path: str, size: int, most: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, items = _encoder(path), []
+        encoder, packer = _encoder(path), _Packer(0, size, most)
         end = array("I", [END_ID]).tobytes()
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1)):
@@ -162,16 +180,20 @@ def _local(docs: DataFrame, path: str, size: int) -> DataFrame:
                 doc = doc_id.as_py()
                 for k, at in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[at : at + 4 * size]
-                    items.append((len(part) // 4, [{"doc_id": doc, "piece": k, "start": at // 4, "length": len(part) // 4, "ids_crc32": zlib.crc32(part)}]))
-        yield from _emit(items, 0, size, False)
+                    yield from packer.add(len(part) // 4, [(doc, k, at // 4, len(part) // 4, zlib.crc32(part))])
+        yield from packer.flush()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("body")).mapInArrow(run, _BINS_DDL)
 
 
-def _again(rest: DataFrame, level: int, size: int, last: bool) -> DataFrame:
+def _again(rest: DataFrame, level: int, size: int, most: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = [(r["used"], r["pieces"]) for batch in batches for r in batch.to_pylist()]
-        yield from _emit(items, level, size, last)
+        packer = _Packer(level, size, most)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                for r in batch.slice(at, 256).to_pylist():
+                    yield from packer.add(r["used"], [tuple(p[c] for c in _NAMES) for p in r["pieces"]])
+        yield from packer.flush()
 
     return rest.mapInArrow(run, _BINS_DDL)
 
@@ -187,21 +209,26 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
     further columns of ``docs`` are ignored.
     """
     spark = docs.sparkSession
-    done, level = [], 0
-    bins = written(_local(docs, tokenizer, size), "bins")
-    tasks = None
+    done, level, before, tasks = [], 0, None, max(FAN_IN, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    bins = written(_local(docs, tokenizer, size, MAX_ITEMS), "bins")
     while True:
-        done.append(bins.filter("full"))
-        rest = bins.filter("NOT full")
-        n = rest.count()
-        if not n:
+        # How many underfull bins there are of each size: at most ``size`` numbers.
+        sizes = dict(bins.filter("NOT full").groupBy("used").agg(F.count(F.lit(1))).collect())
+        least = min(sizes, default=0)
+        fits = size - (least if sizes.get(least, 0) > 1 else min((u for u in sizes if u > least), default=size))
+        joinable = {u: n for u, n in sizes.items() if u <= size - least} if least <= fits else {}
+        n = sum(joinable.values())
+        if level and (tasks == 1 or n == before):  # one task has seen all, or a round joined none
+            joinable = {}
+        if not joinable:
+            done.append(bins)
             break
-        level += 1
-        least = -(-n // MAX_ITEMS)
-        tasks = max(least, -(-(tasks or max(FAN_IN, int(spark.conf.get("spark.sql.shuffle.partitions")))) // FAN_IN))
-        last = level > 40 or tasks == 1 or (level > 1 and tasks == least and n > 0.98 * before)
-        before = n
-        bins = written(_again(rest.repartition(tasks, "bin"), level, size, last), "bins")
+        rest = (~F.col("full")) & (F.col("used") <= size - least)
+        done.append(bins.filter(~rest))
+        level, before = level + 1, n
+        tasks = max(-(-n // MAX_ITEMS), -(-tasks // FAN_IN))
+        dealt = bins.filter(rest).repartition(tasks, F.xxhash64("bin", F.lit(level)))
+        bins = written(_again(dealt, level, size, MAX_ITEMS if tasks > 1 else n + 1), "bins")
     every = done[0]
     for more in done[1:]:
         every = every.unionByName(more)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flightlake.llm.common import text_of, written
+from flightlake.llm.common import text_of, unused, written
 from flightlake.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -161,8 +161,9 @@ def links(unique: DataFrame, hot_block: int = HOT_BLOCK) -> DataFrame:
         found = part if found is None else found.unionByName(part)
         if last:
             return found
-        parts = F.create_map(*[x for m, f in finer.items() for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(y)) for y in f]))])
-        blocks = blocks.join(hot, ["mask", "key"], "left_semi").select("fp", "node", F.explode(parts[F.col("mask")]).alias("mask"))
+        # At most as many rows as there are choices of bits, so they may be broadcast.
+        parts = F.broadcast(unique.sparkSession.createDataFrame([(_signed(m), _signed(y)) for m, f in finer.items() for y in f], "mask long, finer long"))
+        blocks = blocks.join(hot, ["mask", "key"], "left_semi").join(parts, "mask").select("fp", "node", F.col("finer").alias("mask"))
         masks = sorted({y for f in finer.values() for y in f})
 
 
@@ -194,11 +195,18 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """One row of every near-duplicate component, columns unchanged: that with the least (doc_id, fingerprint, text hash), null ids last.
 
     Rows that share an id but not a component are judged apart, and rows without an id like
-    any other. Rows with one id and one text count as one.
+    any other. Rows with one id and one text count as one. Null texts are empty. An empty
+    table gives no rows. Who goes for whom stays beside, in the written table
+    ``near_classes-*`` of the shared folder: doc_id, text_hash, keep_id, keep_hash.
     """
     found = written(fingerprints(docs), "fingerprints")
-    member = F.struct(F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_id"), "fp", F.col("text_hash").alias("_hash"))
-    stay = found.join(_classes(found, HOT_BLOCK), "fp").groupBy("root").agg(F.min(member).alias("m")).select("m._none", "m._id", "m._hash")
-    keys = ["_none", "_id", "_hash"]
-    own = docs.withColumns({"_none": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), "_hash": F.xxhash64(text_of())})
-    return own.join(stay, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
+    member = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "fp", F.col("text_hash").alias("hash"))
+    rooted = written(found.join(_classes(found, HOT_BLOCK), "fp").select("doc_id", "text_hash", "fp", "root"), "near_roots")
+    stay = written(rooted.groupBy("root").agg(F.min(member).alias("m")).select("root", "m.none", "m.id", "m.hash"), "near_kept")
+    keep_id = F.when(~F.col("none"), F.col("id")).alias("keep_id")
+    written(rooted.join(stay, "root").select("doc_id", "text_hash", keep_id, F.col("hash").alias("keep_hash")), "near_classes")
+    key = unused("key", docs.columns)
+    named = lambda none, i, h: F.struct(none.alias("none"), i.alias("id"), h.alias("hash"))
+    own = docs.withColumn(key, named(F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), F.xxhash64(text_of())))
+    kept = stay.select(named(F.col("none"), F.col("id"), F.col("hash")).alias(key))
+    return own.join(kept, key, "left_semi").dropDuplicates([key]).select(*docs.columns)

@@ -157,6 +157,11 @@ def _make(df: DataFrame, home: str) -> None:
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).mkdirs(path)
 
 
+def _dealt(files: DataFrame) -> DataFrame:
+    """A file a task: ranges of as many names as there are files; hashes would put several names into one."""
+    return files.repartitionByRange(max(1, files.count()), "name")
+
+
 def normalise(files: DataFrame, source: str, home: str) -> DataFrame:
     """Rewrites the named files of ``source`` into ``home``, with ``<name>.idx`` beside each; returns the names."""
 
@@ -172,7 +177,7 @@ def normalise(files: DataFrame, source: str, home: str) -> DataFrame:
                 yield pa.RecordBatch.from_pylist([{"name": new}], schema=_FILES)
 
     _make(files, home)
-    return written(files.repartition(max(1, files.count()), "name").mapInArrow(run, "name string"), "warc_members")
+    return written(_dealt(files).mapInArrow(run, "name string"), "warc_members")
 
 
 def read_archives(files: DataFrame, home: str) -> DataFrame:
@@ -194,7 +199,7 @@ def read_archives(files: DataFrame, home: str) -> DataFrame:
                         yield pa.RecordBatch.from_pylist(pages, schema=schema)
 
     ddl = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return files.repartition(max(1, files.count()), "name").mapInArrow(run, ddl)
+    return _dealt(files).mapInArrow(run, ddl)
 
 
 def archive_round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:

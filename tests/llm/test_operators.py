@@ -92,6 +92,49 @@ def test_language_prediction(spark, none, odd):
     assert set(by_id(lang_id.keep_known(df))) == {i for i, *_ in rows}
 
 
+def test_letters_alone_make_a_language(spark):
+    assert [lang_id.words_only(t) for t in ("½ ² ³ Ⅷ", "٣ ५ 3", "\u0301", "x²y", "I½ Ⅷa", "nai\u0308ve", "ΑΒ—γ", "ß_1ª")] == ["", "", "", "x y", "i a", "nai\u0308ve", "αβ γ", "ß ª"]
+    docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate([("das und der", "de"), ("the and that", "en")] * 20 + [("½ ² ³ Ⅷ", "de"), ("\u0301\u0301", "en")])], "doc_id long, text string, lang string")
+    got = by_id(lang_id.identify(docs))
+    assert [(got[i]["lang_pred"], got[i]["score"]) for i in (40, 41)] == [("und", 0.0)] * 2 and {r["lang_pred"] for i, r in got.items() if i < 40} == {"de", "en"}
+
+
+def test_language_matches_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(lang_id, "BATCH_CHARS", 40)
+    texts = [f"{w} {w[::-1]} ünd {i}" * (1 + i % 3) for i, w in enumerate(["river", "stone", "fluss", "stein", "licht", "paper"] * 6)] + ["q" * 3000]
+    rows = [(i, t, ("en", "de", None)[i % 3], "x", 1.0) for i, t in enumerate(texts)] + [(500, texts[0], "en", "x", 1.0)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string, scores double").repartition(3)
+    e = lang_id.Encoder()
+
+    def vector(text):
+        plain, out = f" {lang_id.words_only(text)} ", np.zeros(e.dimensions)
+        for a, b, c in zip(plain, plain[1:], plain[2:]):
+            out += np.roll(e.letter(ord(a)), 2) * np.roll(e.letter(ord(b)), 1) * e.letter(ord(c)).astype(int)
+        return out / np.linalg.norm(out)
+
+    sums = {}
+    for i, t, lang, *_ in rows:
+        if lang and zlib.crc32(str(i).encode()) % 4 != 2:
+            sums[lang] = sums.get(lang, 0) + vector(t)
+    for r in lang_id.identify(docs).collect():
+        own = vector({i: t for i, t, *_ in rows}[r["doc_id"]])
+        cosines = {k: max(0.0, float(own @ v / np.linalg.norm(v))) for k, v in sums.items()}
+        best = max(sorted(cosines), key=cosines.get)
+        assert r["score"] == pytest.approx(cosines[best], abs=1e-4)
+        assert cosines[r["lang_pred"]] == pytest.approx(cosines[best], abs=1e-4)
+
+
+def test_ties_go_to_the_language_that_sorts_first(spark):
+    docs = spark.createDataFrame([(i, "same words here", ("xx", "aa")[i % 2]) for i in range(8)], "doc_id long, text string, lang string")
+    assert {r["lang_pred"] for r in lang_id.identify(docs).collect()} == {"aa"}
+
+
+def test_language_stage_without_a_language(spark, none):
+    docs = spark.createDataFrame([(1, "some text", None), (2, "12", None), (None, None, None)], "doc_id long, text string, lang string")
+    assert [r["doc_id"] for r in lang_id.keep_known(docs).collect()] == [1]
+    assert lang_id.keep_known(none).count() == 0 and lang_id.keep_known(none).columns == none.columns
+
+
 def test_short_documents_stay(spark):
     words = {"en": "the and that with from over many words", "de": "der und das nicht über viele wörter sind"}
     rows = [(i, " ".join(words[g].split()[(i + k) % 8] for k in range(12)), g) for i in range(160) for g in [("en", "de")[i % 2]]]
@@ -100,7 +143,8 @@ def test_short_documents_stay(spark):
     rows += [(1000 + i, t, None) for i, t in enumerate(short)] + [(2000, foreign, None), (2001, "12 !!", None), (2002, None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     scores = {i: r["score"] for i, r in by_id(lang_id.identify(df)).items()}
-    assert min(scores[1000 + i] for i in range(len(short))) < lang_id.MIN_SCORE and scores[2000] < lang_id.MIN_SCORE
+    least = lang_id.judged(df, "found")[1]
+    assert min(scores[1000 + i] for i in range(len(short))) < 0.06 and scores[2000] < least
     assert set(by_id(lang_id.keep_known(df))) == {i for i, *_ in rows} - {2000, 2001, 2002}
 
 
@@ -154,12 +198,30 @@ def test_fingerprint_edges(none, odd, spark):
 
 
 def test_next_document_crosses_buckets(spark, monkeypatch):
-    monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 2)
-    ids = [i * i * 7 - 50 for i in range(700)]
-    df = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string").repartition(5)
-    got = {r["doc_id"]: r["next_doc_id"] for r in fingerprints.with_next(df, lambda body: []).collect()}
-    ids = sorted(ids)
-    assert got == dict(zip(ids, ids[1:] + ids[:1]))
+    monkeypatch.setattr(fingerprints, "LEAST_BUCKET", 40)
+    monkeypatch.setattr(fingerprints, "MOST_BUCKET", 40)
+    for most in (4096, 16):  # more quantiles than a step looks up, and quantiles that are cut further
+        monkeypatch.setattr(fingerprints, "QUANTILES", most)
+        ids = [i * i * 7 - 50 for i in range(700)]
+        df = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string").repartition(5)
+        got = {r["doc_id"]: r["next_doc_id"] for r in fingerprints.with_next(df, lambda body: []).collect()}
+        ids = sorted(ids)
+        assert got == dict(zip(ids, ids[1:] + ids[:1]))
+
+
+def test_next_document_of_a_hot_id(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "LEAST_BUCKET", 100)
+    monkeypatch.setattr(fingerprints, "MOST_BUCKET", 100)
+    rows = [(i, f"text {i}") for i in range(0, 90, 3)] + [(31, f"hot {k}") for k in range(300)] + [(None, f"none {k}") for k in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    hashed = fingerprints.with_next(df, lambda body: [])
+    own = hashed.select("doc_id", "body", "text_hash", "next_doc_id", "next_body").collect()
+    ordered = sorted(own, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text_hash"]))
+    assert len(own) == len(rows)
+    assert [(r["next_doc_id"], r["next_body"]) for r in ordered] == [(r["doc_id"], r["body"]) for r in ordered[1:] + ordered[:1]]
+    bucket, edges = fingerprints._buckets(hashed.select("doc_id", "body", "text_hash"))
+    sizes = hashed.groupBy(bucket.alias("b")).count().collect()
+    assert max(r["count"] for r in sizes) < 60 and edges.count() == len(sizes)
 
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -192,6 +254,22 @@ def test_packing_round_trip(docs, none, odd):
     assert packing.pack(odd, PATH).count() == odd.count()
 
 
+def test_packing_in_many_rounds(spark, monkeypatch):
+    monkeypatch.setattr(packing, "MAX_ITEMS", 8)
+    monkeypatch.setattr(packing, "FAN_IN", 2)
+    rng = np.random.default_rng(8)
+    for sizes in (rng.integers(1, 1500, 300), np.full(120, 1100), np.r_[np.full(100, 1200), np.full(30, 700)], rng.integers(1, 60, 400)):
+        docs = spark.createDataFrame([(i, "the " * (int(n) - 1)) for i, n in enumerate(sizes)], "doc_id long, text string").repartition(4)
+        rows = packing.pack(docs, PATH).collect()
+        assert sorted((r["doc_id"], r["length"]) for r in rows) == [(i, int(n)) for i, n in enumerate(sizes)]
+        used = Counter()
+        for r in rows:
+            used[r["sequence_id"]] += r["length"]
+        first, second = [*sorted(used.values()), 2048][:2]
+        assert max(used.values()) <= 2048 and (len(used) == 1 or first + second > 2048 - 300)
+        assert len(used) <= 1.15 * max(-(-int(sizes.sum()) // 2048) + 2, (sizes > 1024).sum())  # eight items at a time
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(max_size=60))
 def test_word_encoder_matches_library(text):
@@ -203,6 +281,15 @@ def test_word_encoder_matches_library(text):
 @given(st.lists(st.integers(1, 20), max_size=60))
 def test_best_fit_bins(lengths):
     bins = packing.best_fit(lengths, 20)
+    # The same by definition: longest first, each into the fullest bin that takes it.
+    plain: list[list[int]] = []
+    for n in sorted(lengths, reverse=True):
+        fitting = [b for b in plain if sum(b) + n <= 20]
+        if fitting:
+            max(fitting, key=sum).append(n)
+        else:
+            plain.append([n])
+    assert sorted(sorted(lengths[i] for i in b) for b in bins) == sorted(map(sorted, plain)) or sorted(sum(lengths[i] for i in b) for b in bins) == sorted(map(sum, plain))
     assert sorted(i for b in bins for i in b) == list(range(len(lengths)))
     used = [sum(lengths[i] for i in b) for b in bins]
     assert all(u <= 20 for u in used)
@@ -352,6 +439,18 @@ def test_pii_context_on_both_sides_scores_every_kind():
         assert score(f"{word} {'x ' * 30}{value}") == alone
 
 
+def test_pii_query_matches_brute_force(docs):
+    """The query's columns from ``find_spans`` by hand, and its base part from the plain patterns' spans."""
+    got = by_id(pii.query(docs))
+    for i, t, *_ in ROWS:
+        spans = pii.find_spans(t or "")
+        joined = lambda xs: ",".join(f"{k}:{a}:{b}" for k, a, b, *_ in xs)
+        base = pii.base_spans(t or "")
+        assert got[i]["base_sha256"] == sha(joined(base)) and got[i]["spans"] == joined(spans) and joined(spans).startswith(joined(base))
+        assert [got[i][f"n_{k}"] for k in pii.BASE_KINDS] == [sum(x[0] == k for x in base) for k in pii.BASE_KINDS]
+        assert got[i]["scores"] == [s for *_, s in spans]
+
+
 def test_exact_dedup_matches_brute_force(docs, none, odd):
     groups = {}
     for i, t, *_ in ROWS:
@@ -366,6 +465,24 @@ def test_exact_dedup_matches_brute_force(docs, none, odd):
     assert exact_dedup.keep_unique(odd).count() == len({r["text_sha256"] for r in out})
 
 
+def test_exact_groups_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "BLOCK_ROWS", 8)
+    rows = [(i, "hot text" if i % 3 else f"text {i % 50}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    salted = exact_dedup._rows(docs, 2).groupBy("digest", "salt").count().agg({"count": "max"}).first()[0]
+    assert salted <= 16
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.exact_groups(docs, fan_in=2).collect()}
+    texts = Counter(t for _, t in rows)
+    assert got == {i: (min(j for j, u in rows if u == t), texts[t]) for i, t in rows}
+
+
+def test_keep_unique_of_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b", "k1", "m"), (2, "ab", "k2", "n"), (3, "c", "k3", "o")], "doc_id long, text string, key string, KEY_ string")
+    got = sorted(map(tuple, exact_dedup.keep_unique(docs).collect()))
+    assert got == [(1, "a b", "k1", "m"), (3, "c", "k3", "o")]
+    assert sorted(map(tuple, simhash.keep_one(docs).collect())) == sorted(map(tuple, docs.collect()))
+
+
 def test_keep_unique_of_one_id_keeps_the_longest(spark):
     rows = [(1, "a b", "x"), (1, "a  b", "y"), (2, "ab", "z"), (3, None, "v"), (None, " ", "w"), (3, None, "v")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, member string").repartition(3)
@@ -467,7 +584,7 @@ def plain_toxicity(texts, labels):
     a, b = y @ x, (1 - y) @ x
     seen = x * ratio(a - y[:, None], b - (1 - y)[:, None])
     weight, w, bias = np.where(y > 0, toxicity.TOXIC_WEIGHT, 1.0), np.zeros(len(names)), 0.0
-    step = 1 / (toxicity.TOXIC_WEIGHT / 4 * ((seen**2).sum(1).max() + 1) + toxicity.L2)
+    step = 1 / (toxicity.TOXIC_WEIGHT / 4 * ((seen**2).sum() + len(y)) + toxicity.L2)
     v, vb = w, bias
     for k in range(30_000):
         g = weight * (1 / (1 + np.exp(-(seen @ v + vb))) - y)
@@ -514,7 +631,7 @@ def test_threshold_counts_from_itself_on(spark):
     assert (row["score"], row["predicted"]) == (0.5, 1)
 
 
-def test_warc_round_trip(spark):
+def test_warc_round_trip(spark, monkeypatch):
     pages = [(7, "http://x/a b", "<p>same</p>"), (3, "http://x/ü", "<p>same</p>"), (5, None, None), (9, "http://x/\r\nEvil: 1", ""), (11, "http://x", "a\r\n\r\nWARC/1.1\r\n" * 2000), (12, "u", "日本")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumnRenamed("url", "url")
     got = {r["page_id"]: r for r in warc.archive_round_trip(df).collect()}
@@ -528,5 +645,10 @@ def test_warc_round_trip(spark):
     few = {r["page_id"]: r["record_type"] for r in warc.archive_round_trip(df, min_bytes=5).collect()}
     assert few[7] == "revisit" and few[9] == "response"
     assert warc.archive_round_trip(df.limit(0)).count() == 0
+    clash = df.withColumns({"payload": df["url"], "name": df["url"], "first": df["page_id"], "key": df["url"], "refers_to": df["url"]})
+    assert {r["page_id"]: r["record_type"] for r in warc.archive_round_trip(clash).collect()} == {i: r["record_type"] for i, r in got.items()}
+    monkeypatch.setattr(warc, "FILE_BYTES", 2000)  # several files a task
+    many = df.unionByName(spark.range(100, 160).selectExpr("id AS page_id", "'u' AS url", "concat('<p>', id, repeat('x', 500)) AS html")).coalesce(2)
+    assert warc.archive_round_trip(many).filter("record_type = 'response'").count() == 64
     twice = spark.createDataFrame([(None, "u", "x"), (None, "u", "x"), (1, "u", "y"), (1, "u", "y")], "page_id long, url string, html string")
     assert warc.archive_round_trip(twice).count() == 4

@@ -1,11 +1,14 @@
 """The pipeline's stages in order, each judged on its own input."""
 
+import os
+
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from flightlake.llm import pii
+from flightlake.llm.common import shared_dir
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars int"
 
@@ -44,3 +47,31 @@ def test_run_reads_the_table(spark, tmp_path):
     spark.createDataFrame(documents(), SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     found = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert {103, 104, 100}.isdisjoint(found) and len(found) >= 60
+
+
+def test_run_over_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_run_over_repeated_rows_null_ids_and_further_columns(spark, tmp_path):
+    rows = [(*r, "k", 1.0) for r in documents()]
+    rows += [rows[7], rows[7], (None, "no id at all but " + rows[8][1][::-1], "en", None, None, None, None), (5, "another text of id five " + rows[9][1][::-1], "en", None, None, None, None), (None, None, None, None, None, None, None)]
+    spark.createDataFrame(rows, SCHEMA + ", key string, language double").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    found = [(r["doc_id"], r["start"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    ids = [i for i, _ in found]
+    assert ids.count(7) == 1 and ids.count(5) == 2 and ids.count(None) == 1 and {103, 104, 100}.isdisjoint(ids)
+
+
+def test_stages_leave_their_decisions(spark, tmp_path):
+    home = f"{shared_dir(spark)}/flightlake".removeprefix("file://")
+    before = set(os.listdir(home)) if os.path.isdir(home) else set()
+    docs = spark.createDataFrame(documents(), SCHEMA)
+    kept = [stage(spark, docs, "").count() for _, stage in corpus_pipeline.STAGES[:3]]
+    new = sorted(set(os.listdir(home)) - before)
+    read = lambda name: spark.read.parquet(f"file://{home}/{next(n for n in new if n.startswith(name))}")
+    assert kept[0] == len(documents()) - 2 and {r["language"]["lang_pred"] for r in read("languages").filter("doc_id IN (103, 104)").collect()} == {"und"}
+    classes = {r["doc_id"]: r["keep_id"] for r in read("exact_classes").collect()}
+    assert len(classes) == len(documents()) and classes[100] == 0 and classes[101] == 1 and len(set(classes.values())) == kept[1]
+    near = {r["doc_id"]: r["keep_id"] for r in read("near_classes").collect()}
+    assert len(near) == len(documents()) and near[100] == 0 and len(set(near.values())) == kept[2]
