@@ -30,8 +30,8 @@ END_ID = 0
 NEARLY_FULL = 8
 FAN_IN = 8
 MAX_ITEMS = 16_384
-#: Runs whose ids a worker keeps, about 200 bytes each; those of ``LONG_RUN`` characters or more are not kept.
-CACHE_RUNS = 600_000
+#: Runs whose ids one generation of a worker's cache keeps, about 200 bytes each; it has two. Runs of ``LONG_RUN`` characters or more are not kept.
+CACHE_RUNS = 400_000
 LONG_RUN = 64
 #: Marks that the tokenizer parts, as one piece, from the letters before them; no apostrophe, which may go with letters.
 _MARKS = string.punctuation.replace("'", "")
@@ -49,7 +49,10 @@ _WHOLE = re.compile(r"<\||[\x1c-\x1f]")
 
 
 class WordEncoder(dict):
-    """Ids of texts as the tokenizers library gives them, little-endian uint32; keeps those of runs without white space."""
+    """Ids of texts as the tokenizers library gives them, little-endian uint32; keeps those of runs without white space.
+
+    A full generation becomes the older one, and the one before it goes; runs met again move into the new one.
+    """
 
     def __init__(self, path: str):
         import os
@@ -58,6 +61,7 @@ class WordEncoder(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.older: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         #: By id: the token ends a word.
@@ -73,15 +77,21 @@ class WordEncoder(dict):
             self[run] = ids
         return ids
 
-    def learn(self, runs: list[str]) -> None:
+    def learn(self, runs: set[str]) -> None:
         """Keeps the ids of new runs: a word of letters once, whatever marks follow it; all such words in one call."""
         if len(self) > CACHE_RUNS:
+            self.older = dict(self)
             self.clear()
-        marked, words = [], []
+        marked, words, older = [], [], self.older
         for run in runs:
+            if run in older:
+                self[run] = older[run]
+                continue
             word = run.rstrip(_MARKS)
             if len(run) < LONG_RUN and _LETTERS.fullmatch(word):
-                if word not in self:
+                if word in older:
+                    self[word] = older[word]
+                elif word not in self:
                     words.append(word)
                 if len(word) < len(run):
                     marked.append((run, word))
@@ -100,9 +110,17 @@ class WordEncoder(dict):
             return self.whole(text)
         plain = _PLAIN.fullmatch(text) and "İ" not in text
         runs = (text.lower() if plain else text).split()
-        if new := [r for r in set(runs) if r not in self]:
-            self.learn(new)
-        return b"".join(map(self.__getitem__, runs))
+        found = [*map(self.get, runs)]
+        if None in found:
+            self.learn({r for r, ids in zip(runs, found) if ids is None})
+            at = -1
+            try:
+                while True:
+                    at = found.index(None, at + 1)
+                    found[at] = self[runs[at]]
+            except ValueError:  # none is left
+                pass
+        return b"".join(found)
 
 
 _ENCODERS: dict[str, WordEncoder] = {}

@@ -277,6 +277,14 @@ def test_word_encoder_matches_library(text):
     assert e.encode(text) == e.whole(text)
 
 
+def test_word_encoder_generations(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_RUNS", 30)
+    e = packing.WordEncoder(PATH)
+    texts = [f"word{i} the quick, brown fox{i % 9}! {'y' * 70} item{i % 40}" for i in range(200)]
+    assert [e.encode(t) for t in texts + texts] == [e.whole(t) for t in texts + texts]
+    assert e.older and len(e) < 80
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.integers(1, 20), max_size=60))
 def test_best_fit_bins(lengths):
