@@ -2,7 +2,12 @@
 
 import json
 import math
+import os
 import random
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -217,10 +222,22 @@ def test_blocks_of_runs(spark, tmp_path):
         store.inspect(1)
 
 
-def test_contract_without_corpus_operators():
+def test_contract():
     import __spark_entry__ as e
 
-    assert set(e.oracle_sql()) <= set(e.queries())
+    assert set(e.oracle_sql()) <= set(e.queries()) and set(queries.queries()) <= set(e.queries())
+
+
+def test_contract_without_corpus_operators(tmp_path):
+    """In a copy of the repository without them, and with a folder that only holds leftovers."""
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root / "flightlake", tmp_path / "flightlake", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e, flightlake.queries as q; assert set(e.queries()) == set(q.queries()) and set(e.oracle_sql()) == set(q.oracle_sql())"
+    for leftovers in (False, True):
+        if leftovers:
+            (tmp_path / "flightlake/llm/__pycache__").mkdir(parents=True)
+        subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, check=True)
 
 
 def test_gaps_in_order_query_reads_all_events(spark):

@@ -104,7 +104,8 @@ def test_capture_and_selection(spark, tmp_path):
     assert json.loads(benchmark.report(got, tmp_path / "a" / "b.json")) == json.loads((tmp_path / "a" / "b.json").read_text())
 
 
-def test_commands(spark, tmp_path, capsys):
+def test_commands(spark, tmp_path, capsys, monkeypatch):
+    monkeypatch.setenv("DATA_DIR", str(tmp_path / "data"))
     flt = tmp_path / "flt.json"
     entry = {"description": "", "unit": "u", "word": 1, "minor_frames": [1, 3], "hz": 2, "type": "float"}
     flt.write_text(json.dumps({"major_frame_sec": 1, "minor_frames": 4, "description": "", "layout": [entry | {"name": n, "parameter_id": i} for n, i in IDS.items()]}))
@@ -119,3 +120,31 @@ def test_commands(spark, tmp_path, capsys):
     assert len(capsys.readouterr().out.splitlines()) == 9 * 10 + 10
     assert cli.main(["printer", "--duration", "1", "--hz", "4", "--stress", "--flt-file", str(flt)]) == 0
     assert len(capsys.readouterr().out.splitlines()) == 40
+
+    window = ["--start-ts-ns", "0", "--end-ts-ns", "2000000000"]
+    assert cli.main([*store, "aggregate", *window, "--parameter-ids", "1,77", "--output-csv", str(tmp_path / "a.csv")]) == 0
+    lines = (tmp_path / "a.csv").read_bytes().split(b"\r\n")
+    assert lines[0] == b"start_ts_ns,end_ts_ns,parameter_id,count,min,max,avg" and lines[1].startswith(b"0,2000000000,1,4,") and lines[2] == b"0,2000000000,77,0,,,"
+    capsys.readouterr()
+    assert cli.main([*store, "plot-flight", "--target-seconds", "5", "--flt-file", str(flt)]) == 0
+    assert len(capsys.readouterr().out.splitlines()) == 4 * 10 + 10
+    assert cli.main([*store, "compact"]) == 0 and capsys.readouterr().out == "False\n"
+    with pytest.raises(ValueError):
+        cli.main([*store, "plot-flight", "--target-seconds", "0", "--flt-file", str(flt)])
+
+
+def test_ids_of_the_command_line():
+    assert cli.parse_ids(" ") is None and cli.parse_ids(",") == set() and cli.parse_ids("3, 1,3") == {1, 3}
+    with pytest.raises(ValueError):
+        cli.parse_ids("1,x")
+
+
+def test_benchmark_commands(spark, tmp_path, capsys):
+    report = tmp_path / "out" / "report.json"
+    small = ["--parameter-pool", "4", "--output-json", str(report), "--block-max-points", "16"]
+    assert cli.main(["benchmark", "--rows", "16", "--points-per-row", "2", "--sweep", "16", *small]) == 0
+    assert "sweep: 16 points a block" in capsys.readouterr().out and json.loads(report.read_text())["narrow_query"]["queries"] == 12
+    assert cli.main(["benchmark-capture", "--frames", "8", "--points-per-frame", "4", "--batch-max-rows", "4", *small]) == 0
+    assert capsys.readouterr().out.startswith("8 frames: ") and json.loads(report.read_text())["loss_rate"] == 0
+    assert cli.main(["benchmark-scale", "--rows", "8", "--parameter-pools", "4", "--output-json", str(report)]) == 0
+    assert capsys.readouterr().out.startswith("pool 4: ingest ")
