@@ -166,7 +166,11 @@ def detect(docs: DataFrame) -> DataFrame:
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` with personal data in ``text`` replaced and ``n_chars`` to match; columns and rows stay, null texts too."""
+    """``docs`` with personal data in ``text`` replaced and ``n_chars`` to match; columns and rows stay, null texts too.
+
+    Repeated rows and rows without an id are each handled on their own, further columns stay
+    as they are whatever their names, and an empty table stays empty.
+    """
 
     def run(batches):
         for batch in batches:
@@ -186,7 +190,11 @@ def redact_documents(docs: DataFrame) -> DataFrame:
 
 
 def query(docs: DataFrame) -> DataFrame:
-    """The contract's columns of every document."""
+    """The contract's columns of every row of ``docs``, and ``scores`` in the order of ``spans``.
+
+    A null text is empty: no spans, counts of 0, the digest of the empty text. Repeated rows
+    each give a row; an empty table gives none; further columns of ``docs`` are ignored.
+    """
     found = detect(docs)
     named = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))

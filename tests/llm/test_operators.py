@@ -426,6 +426,7 @@ def test_pii_added_kinds_and_redaction(docs, none, odd):
     out = by_id(pii.redact_documents(docs))
     assert len(out) == len(ROWS) and out[0]["text"] is None and out[10 * (len(ROWS) - 1)]["text"].startswith("mail <EMAIL>, ip <IP>")
     assert pii.redact_documents(docs).columns == docs.columns
+    assert pii.redact_documents(none).count() == 0 and sorted(r["n_chars"] for r in pii.redact_documents(odd).collect() if r["text"]) == sorted(len(r["text"]) for r in pii.redact_documents(odd).collect() if r["text"])
 
 
 def test_pii_iban_with_a_card_inside_stays_whole():
