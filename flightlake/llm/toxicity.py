@@ -14,7 +14,6 @@ The classifier is fitted by one task on a sample of labelled rows that ``MAX_ROW
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,13 +38,12 @@ THRESHOLD = 0.3
 #: Code points hashed at a time, and features of the sample weighed at a time.
 CHUNK, BLOCK = 1 << 20, 1 << 20
 
-_SPACE = re.compile(r"\s+")
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _hashes(text: str) -> Iterator[np.ndarray]:
     """Hashes of the text's n-grams, repeats included, part by part."""
-    plain = f" {_SPACE.sub(' ', text.lower()).strip()} "
+    plain = f" {' '.join(text.lower().split())} "
     for at in range(0, len(plain) - SIZE + 1, CHUNK):
         part = np.frombuffer(plain[at : at + CHUNK + SIZE - 1].encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
         n = len(part) - SIZE + 1
@@ -60,7 +58,9 @@ def features(text: str) -> np.ndarray:
     """Different hashed n-grams of a text, at most as many as there are hashes."""
     out = np.empty(0, np.int32)
     for h in _hashes(text):
-        out = np.unique(np.concatenate([out, h]))
+        h = np.concatenate([out, h])
+        h.sort()
+        out = h[np.flatnonzero(np.diff(h, prepend=-1))]
     return out
 
 
