@@ -22,6 +22,8 @@ from flightlake.operators.ranges import place_among
 
 #: Bytes of text that a bucket of neighbouring ids holds on average: a part of the table, within these bounds.
 BUCKET_SHARE, LEAST_BUCKET, MOST_BUCKET = 1 / 2000, 2 << 20, 256 << 20
+#: Buckets, a row of three numbers each, that are broadcast; more, as tables far over 100 TB have, meet their documents by a shuffle.
+MOST_EDGES = 1 << 20
 #: Quantiles of ids that are looked up; each is cut evenly further in larger tables.
 QUANTILES = 4096
 
@@ -81,7 +83,8 @@ def _buckets(docs: DataFrame) -> tuple[Column, DataFrame]:
     first = docs.select(bucket.alias("b"), order.alias("k")).groupBy("b").agg(F.min("k").alias("k"))
     rows = sorted((r["b"], r["k"]["doc_id"], r["k"]["text_hash"]) for r in first.collect())  # a few numbers for each bucket
     edges = [(i, h, rows[n - 1][0]) for n, (_, i, h) in enumerate(rows)]
-    return bucket, docs.sparkSession.createDataFrame(edges, "first_id long, first_hash long, before long")
+    table = docs.sparkSession.createDataFrame(edges, "first_id long, first_hash long, before long")
+    return bucket, F.broadcast(table) if len(edges) <= MOST_EDGES else table
 
 
 def with_next(docs: DataFrame, more: Callable[[Column], list[Column]]) -> DataFrame:
@@ -96,7 +99,6 @@ def with_next(docs: DataFrame, more: Callable[[Column], list[Column]]) -> DataFr
     names = rows.columns
     places = F.filter(F.array(F.struct(bucket.alias("b"), F.lit(0).alias("extra")), F.struct(F.col("before").alias("b"), F.lit(1).alias("extra"))), lambda p: p["b"].isNotNull())
     at_edge = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))
-    # A row for each bucket; Spark broadcasts them if their size allows.
     dealt = rows.join(edges, at_edge, "left").select(*names, F.explode(places).alias("at")).select(*names, "at.b", "at.extra")
     order = Window.partitionBy("b").orderBy("extra", F.col("doc_id").asc_nulls_first(), "text_hash")
     return dealt.select(*names, "extra", *[F.lead(c).over(order).alias(f"next_{c}") for c in names]).filter("extra = 0").drop("extra")
