@@ -32,7 +32,11 @@ def piecewise(t: Column, segments: list[tuple[float, float, float, float]]) -> C
 
 
 def percentile(column: str, q: float) -> Column:
-    """Inclusive linear interpolation; 0.0 for no rows."""
+    """Inclusive linear interpolation; 0.0 for no rows.
+
+    Exact, so a task keeps the different values of its group with their counts; the figures
+    it is meant for are latencies of a benchmark, not raw points.
+    """
     return F.coalesce(F.percentile(column, F.lit(q)), F.lit(0.0))
 
 
