@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from flightlake.operators import points as P
 from flightlake.schemas import MAX_PARAMETER_ID, VERSIONED, VERSIONED_COLUMNS
 
-#: Input that the optimiser knows to be no larger than this is sorted by one task, without sampling it for ranges first.
-SMALL_BYTES = 16 << 20
+#: Input that the optimiser knows to be no larger than this is sorted by one task, without sampling it for ranges first;
+#: so are runs that a query reads if their files are no larger in all.
+SMALL_BYTES, SMALL_READ = 16 << 20, 4 << 20
 #: Times that a commit is tried again after another writer's.
 ATTEMPTS = 20
 #: ``vacuum`` spares what is younger: runs of writers at work, and manifests that readers may hold.
@@ -165,7 +166,7 @@ class RunStore:
             raise StoreClosed("the store is closed")
 
     # writes
-    def _write_run(self, run_id: int, df: DataFrame, unique: bool) -> dict | None:
+    def _write_run(self, run_id: int, df: DataFrame) -> dict | None:
         """Writes a run in a folder of its own, nothing reads it yet; None for no points.
 
         Counts and ranges are gathered as the points pass, so the run is not read again. A
@@ -178,11 +179,14 @@ class RunStore:
         small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL_BYTES
         placed = columns.coalesce(1) if small else columns.repartitionByRange("timestamp_ns")
         key, seen = ["timestamp_ns", "parameter_id", "ordinal"], Observation()
-        begins = F.row_number().over(Window.partitionBy("timestamp_ns").orderBy(*key[1:])) == 1
+        row = Window.partitionBy("timestamp_ns").orderBy(*key[1:])
+        # 1 where a row begins, 2 where a key is repeated; only sorting neighbours are compared.
+        kind = F.when(F.row_number().over(row) == 1, 1).when(F.lag("parameter_id").over(row) == F.col("parameter_id"), 2).otherwise(0)
         ranges = [f(c).alias(f"{n}_{c}") for c in key for n, f in (("min", F.min), ("max", F.max))]
         missing = F.count(F.when(F.greatest(*[F.col(c).isNull().cast("int") for c in ("timestamp_ns", "parameter_id", "value", "ordinal")]) == 1, 1))
-        ordered = placed.sortWithinPartitions(*key).withColumn("begins", begins)
-        watched = ordered.observe(seen, F.count(F.lit(1)).alias("point_count"), F.count(F.when(F.col("begins"), 1)).alias("rows_count"), missing.alias("missing"), *ranges).drop("begins")
+        ordered = placed.sortWithinPartitions(*key).withColumn("kind", kind)
+        counts = [F.count(F.lit(1)).alias("point_count"), *[F.count(F.when(F.col("kind") == k, 1)).alias(n) for k, n in ((1, "rows_count"), (2, "repeats"))], missing.alias("missing")]
+        watched = ordered.observe(seen, *counts, *ranges).drop("kind")
         watched.write.options(**self._block_options()).parquet(f"{self.root}/runs/{folder}")
         s = dict(seen.get)
         wrong = None
@@ -201,7 +205,7 @@ class RunStore:
         size = self._fs.getContentSummary(self._path(f"runs/{folder}")).getLength()
         self.stats["bytes_written"] += size
         kept = ("point_count", "rows_count", "min_timestamp_ns", "max_timestamp_ns", "min_parameter_id", "max_parameter_id")
-        return {"run_id": run_id, "folder": folder, "unique": unique, "size_bytes": size} | {k: s[k] for k in kept}
+        return {"run_id": run_id, "folder": folder, "unique": s["repeats"] == 0, "size_bytes": size} | {k: s[k] for k in kept}
 
     def _drop(self, folder: str) -> None:
         """Deletes an attempt, and the folder of its id if that is empty then."""
@@ -237,7 +241,7 @@ class RunStore:
                     self._drop(run["folder"])
                 return False
             if written is None:
-                run, written = self._write_run(m["next_run_id"], points, unique=False), True
+                run, written = self._write_run(m["next_run_id"], points), True
             elif run is not None and run["run_id"] != m["next_run_id"]:
                 run = self._move(run, m["next_run_id"])
             if run is None and batch_id is None:
@@ -284,10 +288,15 @@ class RunStore:
     def _newest(self, start_ns: int, end_ns: int, ids: Iterable[int] | None, ordered: bool) -> DataFrame:
         ids = None if ids is None else sorted(set(ids))
         hit = self._hit(start_ns, end_ns, ids)
-        if len(hit) == 1 and hit[0].get("unique"):  # a compacted run holds every key once
-            own = P.filter_parameters(self._points(hit).filter(P.in_time(start_ns, end_ns)), ids)
-            return P.in_key_order(own) if ordered else own.select(*P.POINT_COLUMNS)
-        return P.query_range(self._points(hit), start_ns, end_ns, ids, ordered)
+        kept = P.filter_parameters(self._points(hit).filter(P.in_time(start_ns, end_ns)), ids)
+        small = sum(r.get("size_bytes", SMALL_READ + 1) for r in hit) <= SMALL_READ
+        if small:  # one task then serves the merge and the order
+            kept = kept.coalesce(1)
+        spans = sorted((r["min_timestamp_ns"], r["max_timestamp_ns"]) for r in hit)
+        apart = all(r.get("unique") for r in hit) and all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+        if not apart:  # else no key stands twice in these runs
+            kept = P.newest_wins(kept if small or not ordered else kept.repartitionByRange("timestamp_ns", "parameter_id"))
+        return P.in_key_order(kept) if ordered else kept.select(*P.POINT_COLUMNS)
 
     def query_range(self, start_ns: int, end_ns: int, ids: Iterable[int] | None = None, ordered: bool = True) -> DataFrame:
         """Points of ``[start, end)``, newest wins, in order of (timestamp, parameter)."""
@@ -364,7 +373,7 @@ class RunStore:
         every = self._points(m["runs"])
         small = sum(r.get("size_bytes", SMALL_BYTES) for r in m["runs"]) <= SMALL_BYTES
         merged = P.newest_wins(every if small else every.repartitionByRange("timestamp_ns")).withColumn("ordinal", F.lit(0).cast("long"))
-        run = self._write_run(m["next_run_id"], merged, unique=True)
+        run = self._write_run(m["next_run_id"], merged)
         try:
             self._commit(m, runs=[run], next_run_id=run["run_id"] + 1)
         except ManifestConflict:

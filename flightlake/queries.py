@@ -183,7 +183,7 @@ def _store_compact(s: SparkSession, d: str) -> DataFrame:
 def _store_recover(s: SparkSession, d: str) -> DataFrame:
     """A store with an attempt that never was committed and a newest manifest that is broken, and a run appended after recovery."""
     store = stored(s, d, 3)
-    store._write_run(4, versioned(s, d).withColumn("value", F.lit(-1.0)), unique=False)
+    store._write_run(4, versioned(s, d).withColumn("value", F.lit(-1.0)))
     store._publish(f"manifest/v{store.manifest()['version'] + 1}.json", "{broken")
     store.recover()
     store.append(versioned(s, d, 3).filter("run_id = 1").drop("run_id"))

@@ -64,7 +64,8 @@ def test_pruning_opens_one_run(spark, store):
 
 
 def test_filters_reach_the_scan(spark, store):
-    store.append(df(spark, [(10, 1, 1.0), (20, 2, 2.0)]))
+    for _ in range(2):  # runs that overlap, so their points are merged
+        store.append(df(spark, [(10, 1, 1.0), (20, 2, 2.0)]))
     plan = store.query_range(0, 15, [1, 2])._jdf.queryExecution().toString()
     assert "GreaterThanOrEqual(timestamp_ns,0)" in plan and "In(parameter_id, [1,2])" in plan and "HashAggregate" in plan and "SortAggregate" not in plan
 
@@ -476,3 +477,21 @@ def test_replay_follows_queue_and_flush_limits(spark, store):
     few = RunStore(spark, store.root + "2")
     got = ingest.replay(few, frames, conf(ingest__queue_max_frames=1))
     assert (got["frames_in"], got["dropped_frames"]) == (5, 35)
+
+
+def test_runs_apart_need_no_merge(spark, store, monkeypatch):
+    from flightlake.plans import store as module
+
+    store.append(df(spark, [(1, 1, 1.0), (2, 1, 2.0), (2, 2, 3.0)]))
+    store.append(df(spark, [(3, 1, 4.0), (4, 1, 5.0)]))
+    assert [r["unique"] for r in store.manifest()["runs"]] == [True, True]
+    for small in (module.SMALL_READ, 0):
+        monkeypatch.setattr(module, "SMALL_READ", small)
+        plan = store.query_range(0, 9)
+        assert "Aggregate" not in plan._jdf.queryExecution().toString() and keyed(plan) == [(1, 1, 1.0), (2, 1, 2.0), (2, 2, 3.0), (3, 1, 4.0), (4, 1, 5.0)]
+    store.append(df(spark, [(4, 1, 6.0), (4, 1, 7.0)]))
+    assert store.manifest()["runs"][2]["unique"] is False
+    for small in (1 << 20, 0):
+        monkeypatch.setattr(module, "SMALL_READ", small)
+        assert [tuple(r) for r in store.query_range(0, 9).collect()][-2:] == [(3, 1, 4.0), (4, 1, 7.0)]
+        assert store.aggregate_range(0, 9).orderBy("parameter_id").first()["max"] == 7.0
