@@ -108,9 +108,9 @@ class RunStore:
         kind = self._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename")
         none = self._jvm.java.lang.reflect.Array.newInstance(kind, 1)
         self._jvm.java.lang.reflect.Array.set(none, 0, kind.getEnumConstants()[0])  # NONE: never over an existing file
-        files = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path("").toUri(), self.spark._jsc.hadoopConfiguration())
+        files = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
         try:
-            files.rename(self._path(temp), self._path(name), none)
+            files.rename(self._fs.makeQualified(self._path(temp)), self._fs.makeQualified(self._path(name)), none)
         except Py4JJavaError as e:
             self._fs.delete(self._path(temp), False)
             if "FileAlreadyExistsException" in e.java_exception.getClass().getName():

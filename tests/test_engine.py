@@ -301,6 +301,12 @@ def test_writers_meet(spark, store):
     assert not other.compact() and keyed(store.query_range(0, 9)) == [(1, 1, 2.0)]
 
 
+def test_a_root_without_a_scheme(spark, tmp_path):
+    store = RunStore(spark, f"{tmp_path}/plain/", min_runs=2)
+    assert store.append(df(spark, [(1, 1, 1.0)])) and store.append(df(spark, [(1, 1, 2.0)])) and store.compact()
+    assert keyed(RunStore(spark, f"{tmp_path}/plain").query_range(0, 9)) == [(1, 1, 2.0)] and store.inspect(3)[0]["point_count"] == 1
+
+
 def test_commit_after_broken_manifests(spark, store, tmp_path):
     store.append(df(spark, [(1, 1, 1.0)]))
     (tmp_path / "store/manifest/v2.json").write_text("{bad json")
