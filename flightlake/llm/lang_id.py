@@ -79,15 +79,14 @@ class Encoder:
         c = np.frombuffer(f" {plain} ".encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
         return np.unique(c[:-2] << 42 | c[1:-1] << 21 | c[2:], return_counts=True)
 
-    @classmethod
-    def evidence(cls, text: str) -> float:
-        """How many equally frequent trigrams would weigh as much as those of the text; repeats add nothing."""
-        n = cls.counts(text)[1].astype(np.float64)
-        return float(n.sum() ** 2 / (n * n).sum()) if len(n) else 0.0
-
     def vectors(self, texts: list[str]) -> np.ndarray:
         """A row of length one for each text; zeros for a text without letters."""
+        return self.vectors_and_evidence(texts)[0]
+
+    def vectors_and_evidence(self, texts: list[str]) -> tuple[np.ndarray, list[float]]:
+        """``vectors``, and how many equally frequent trigrams would weigh as much as those of each text; repeats add nothing."""
         found = [self.counts(t) for t in texts]
+        evidence = [float(k.sum() ** 2 / (k * k).sum()) if len(k) else 0.0 for _, c in found for k in (c.astype(np.float64),)]
         used, at = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
         out = np.zeros((len(texts), self.dimensions), np.float32)
         row = np.repeat(np.arange(len(texts)), [len(c) for c, _ in found])
@@ -98,14 +97,14 @@ class Encoder:
             table[row[here], at[here] - a] = n[here]
             out += table @ self.trigrams(used[a : a + 8192]).astype(np.float32)
         norm = np.sqrt((out * out).sum(1, keepdims=True))
-        return np.divide(out, norm, out=out, where=norm > 0)
+        return np.divide(out, norm, out=out, where=norm > 0), evidence
 
 
 def _chunks(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, list[str]]]:
     """(first row, texts) of small parts of a batch."""
     texts, at, chars = [], 0, 0
     for i, value in enumerate(batch.column(column)):
-        texts.append(value.as_py())
+        texts.append(value.as_py() or "")
         chars += len(texts[-1])
         if len(texts) >= BATCH_TEXTS or chars >= BATCH_CHARS:
             yield at, texts
@@ -190,20 +189,20 @@ def judged(docs: DataFrame, name: str) -> tuple[DataFrame, float]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder()
         for batch in batches:
-            found = []
-            filled = batch.set_column(batch.schema.get_field_index("text"), "text", batch.column("text").fill_null(""))
-            labels = batch.column("lang").to_pylist()
-            for at, texts in _chunks(filled, "text"):
-                vectors = encoder.vectors(texts)
+            for at, texts in _chunks(batch, "text"):
+                # Given on part by part, so that a worker holds one batch and no copy of it.
+                part, found = batch.slice(at, len(texts)), []
+                labels = part.column("lang").to_pylist()
+                vectors, evidence = encoder.vectors_and_evidence(texts)
                 cosines = np.clip(vectors @ prototypes.T, 0, 1).astype(np.float64) if langs else np.zeros((len(texts), 1))
-                for i, t in enumerate(texts):
-                    known, label = bool(vectors[i].any()), str(labels[at + i]) if labels[at + i] is not None else None
+                for i in range(len(texts)):
+                    known, label = bool(vectors[i].any()), str(labels[i]) if labels[i] is not None else None
                     best = int(cosines[i].argmax())
                     found.append({
                         "lang_pred": langs[best] if known and langs else NONE, "score": float(cosines[i, best]) if known else 0.0,
-                        "evidence": encoder.evidence(t) if known else 0.0, "own": float(cosines[i, place[label]]) if known and label in place else None,
+                        "evidence": evidence[i] if known else 0.0, "own": float(cosines[i, place[label]]) if known and label in place else None,
                     })
-            yield batch.set_column(batch.num_columns - 1, name, pa.array(found, kind))
+                yield part.set_column(part.num_columns - 1, name, pa.array(found, kind))
 
     blank = F.lit(None).cast("struct<lang_pred: string, score: double, evidence: double, own: double>")
     given = docs.withColumn(name, blank)
