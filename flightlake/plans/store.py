@@ -17,6 +17,8 @@ import uuid
 from bisect import bisect_left
 from collections.abc import Iterable
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -60,6 +62,28 @@ def _folder(run: dict) -> str:
     return run.get("folder", f"run_id={run['run_id']}")
 
 
+#: What a footer says of a block (row group).
+BLOCK = pa.schema([
+    ("file", pa.string()), ("block", pa.int64()), ("point_count", pa.int64()), ("bytes", pa.int64()),
+    *((f"{f}_{k}", pa.int64()) for k in ("timestamp_ns", "parameter_id") for f in ("min", "max")),
+])
+
+
+def _footer_blocks(name: str, footer: bytes) -> pa.Table:
+    """The blocks that hold points of the file that ends in ``footer``; no call to the JVM for any of them."""
+    said, rows = pq.read_metadata(pa.BufferReader(footer)), []
+    names = said.schema.names
+    ranged = [names.index(k) for k in ("timestamp_ns", "parameter_id")]
+    for at in range(said.num_row_groups):
+        block = said.row_group(at)
+        if not block.num_rows:
+            continue
+        columns = [block.column(j) for j in range(len(names))]
+        ranges = [x for j in ranged for s in [columns[j].statistics] for x in ((s.min, s.max) if s is not None and s.has_min_max else (None, None))]
+        rows.append((name, at, block.num_rows, sum(c.total_compressed_size for c in columns), *ranges))
+    return pa.table([pa.array(x, f.type) for x, f in zip(list(zip(*rows)) or [[]] * len(BLOCK), BLOCK)], schema=BLOCK)
+
+
 class RunStore:
     """Append, query, aggregate, compact and recover; counters of the session in ``stats``."""
 
@@ -316,47 +340,61 @@ class RunStore:
         return P.aggregate_points(self._newest(start_ns, end_ns, ids, ordered=False), start_ns, end_ns, ids)
 
     # footers
+    def _footer(self, file, length: int) -> bytes:
+        """A Parquet file's end from its footer on: two reads, however many blocks it has."""
+        stream, read = self._fs.open(file), self._jvm.org.apache.commons.io.IOUtils.toByteArray
+        try:
+            stream.seek(length - 8)
+            size = int.from_bytes(bytes(read(stream, 8))[:4], "little") + 8
+            stream.seek(length - size)
+            return bytes(read(stream, size))
+        finally:
+            stream.close()
+
+    def _blocks(self, run: dict) -> pa.Table:
+        """The blocks of a run in columns; see ``inspect``. One footer is held at a time."""
+        files = [(s.getPath(), s.getLen()) for s in self._list(f"runs/{_folder(run)}")]
+        parts = [_footer_blocks(f.getName(), self._footer(f, n)) for f, n in files if f.getName().endswith(".parquet")]
+        out = pa.concat_tables([BLOCK.empty_table(), *parts])
+        read = {"point_count": sum(out["point_count"].to_pylist())}
+        for k in ("timestamp_ns", "parameter_id"):
+            for name, f in ((f"min_{k}", min), (f"max_{k}", max)):  # a block without a range makes the run's unknown
+                read[name] = None if out[name].null_count else f(out[name].to_pylist(), default=None)
+        if wrong := sorted(k for k, v in read.items() if run[k] != v):
+            raise ValueError(f"run {run['run_id']}: footers and manifest differ in {', '.join(wrong)}")
+        return out
+
     def inspect(self, run_id: int) -> list[dict]:
         """The blocks (row groups) of a run from its files' footers; no data is read.
 
         Raises if the footers' count or ranges differ from what the manifest says of the run.
         """
         self._open()
-        said = {r["run_id"]: r for r in self.manifest()["runs"]}[run_id]
-        parquet, conf = self._jvm.org.apache.parquet.hadoop, self.spark._jsc.hadoopConfiguration()
-        out = []
-        for name in self._names(f"runs/{_folder(said)}"):
-            if not name.endswith(".parquet"):
-                continue
-            reader = parquet.ParquetFileReader.open(parquet.util.HadoopInputFile.fromPath(self._path(f"runs/{_folder(said)}/{name}"), conf))
-            try:
-                for at, block in enumerate(reader.getFooter().getBlocks()):
-                    found = {"file": name, "block": at, "point_count": block.getRowCount(), "bytes": block.getCompressedSize()}
-                    for column in block.getColumns():
-                        path, stats = column.getPath().toDotString(), column.getStatistics()
-                        if path in ("timestamp_ns", "parameter_id"):
-                            found |= {f"min_{path}": stats.genericGetMin(), f"max_{path}": stats.genericGetMax()}
-                    out.append(found)
-            finally:
-                reader.close()
-        out = [b for b in out if b["point_count"]]
-        read = {"point_count": sum(b["point_count"] for b in out)}
-        for k in ("timestamp_ns", "parameter_id"):
-            read |= {f"min_{k}": min((b[f"min_{k}"] for b in out), default=None), f"max_{k}": max((b[f"max_{k}"] for b in out), default=None)}
-        if wrong := sorted(k for k, v in read.items() if said[k] != v):
-            raise ValueError(f"run {run_id}: footers and manifest differ in {', '.join(wrong)}")
-        return out
+        return self._blocks({r["run_id"]: r for r in self.manifest()["runs"]}[run_id]).to_pylist()
+
+    def blocks(self) -> DataFrame:
+        """The blocks of all runs as ``inspect`` gives them, with their ``run_id``; the driver holds some 140 bytes a block."""
+        self._open()
+        found = [BLOCK.insert(0, pa.field("run_id", pa.int64())).empty_table()]
+        for run in self.manifest()["runs"]:
+            blocks = self._blocks(run)
+            found.append(blocks.add_column(0, "run_id", pa.array([run["run_id"]] * blocks.num_rows, pa.int64())))
+        return self.spark.createDataFrame(pa.concat_tables(found).combine_chunks())  # Spark stops at an empty chunk
 
     def block_counters(self, start_ns: int, end_ns: int, ids: Iterable[int] | None = None) -> dict[str, int]:
         """What a query reads, from manifest and footers: files and blocks considered and ruled out, points in blocks scanned."""
+        self._open()
         ids = None if ids is None else sorted(set(ids))
         runs = self.manifest()["runs"]
         hit = [r for r in runs if _may_hold(r, start_ns, end_ns, ids)]
-        blocks = [b for r in hit for b in self.inspect(r["run_id"])]
-        read = [b for b in blocks if _may_hold(b, start_ns, end_ns, ids)]
+        considered, read = 0, []
+        for r in hit:
+            blocks = self._blocks(r)
+            considered += blocks.num_rows
+            read += [b["point_count"] for b in blocks.to_pylist() if _may_hold(b, start_ns, end_ns, ids)]
         return {
-            "files_considered": len(runs), "files_pruned": len(runs) - len(hit), "files_opened": len(hit), "blocks_considered": len(blocks),
-            "blocks_pruned": len(blocks) - len(read), "blocks_scanned": len(read), "points_decoded": sum(b["point_count"] for b in read),
+            "files_considered": len(runs), "files_pruned": len(runs) - len(hit), "files_opened": len(hit), "blocks_considered": considered,
+            "blocks_pruned": considered - len(read), "blocks_scanned": len(read), "points_decoded": sum(read),
         }
 
     # maintenance

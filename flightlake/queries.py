@@ -197,10 +197,8 @@ def _store_catalog(s: SparkSession, d: str) -> DataFrame:
 
 def _store_blocks(s: SparkSession, d: str) -> DataFrame:
     """Blocks of the runs, from footers; none has more points than asked for."""
-    store = stored(s, d, block_points=100)
-    rows = [(r["run_id"], b["point_count"], b["min_timestamp_ns"], b["max_timestamp_ns"]) for r in store.manifest()["runs"] for b in store.inspect(r["run_id"])]
-    found = s.createDataFrame(rows, "run_id long, n long, a long, z long")
-    return found.groupBy("run_id").agg(F.sum("n").alias("points"), F.min("a").alias("min_ts"), F.max("z").alias("max_ts"), (F.max("n") <= 100).alias("bounded"))
+    found = stored(s, d, block_points=100).blocks()
+    return found.groupBy("run_id").agg(F.sum("point_count").alias("points"), F.min("min_timestamp_ns").alias("min_ts"), F.max("max_timestamp_ns").alias("max_ts"), (F.max("point_count") <= 100).alias("bounded"))
 
 
 def _event_frames(s: SparkSession, d: str) -> DataFrame:

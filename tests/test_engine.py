@@ -223,6 +223,27 @@ def test_blocks_of_runs(spark, tmp_path):
         store.inspect(1)
 
 
+def test_blocks_cost_no_call_each(spark, tmp_path, monkeypatch):
+    """Calls to the JVM grow with files, not with blocks; empty stores and files without points have no blocks."""
+    rows, calls = spark.range(3000).selectExpr("id timestamp_ns", "id % 3 parameter_id", "1.0D value"), {}
+    send = type(spark.sparkContext._gateway._gateway_client).send_command
+    for points in (1000, 10):
+        store = RunStore(spark, f"file://{tmp_path}/each{points}", min_runs=2, block_points=points)
+        assert store.blocks().count() == 0
+        store.append(rows.coalesce(1))
+        store.append(rows.filter("id = 7").coalesce(1))
+        count = []
+        with monkeypatch.context() as patch:
+            patch.setattr(type(spark.sparkContext._gateway._gateway_client), "send_command", lambda *a, **k: count.append(1) or send(*a, **k))
+            blocks = store.inspect(1)
+        calls[points] = len(count)
+        assert [(b["block"], b["point_count"]) for b in blocks] == [(i, points) for i in range(3000 // points)]
+        assert [(b["min_timestamp_ns"], b["max_timestamp_ns"]) for b in blocks] == [(i * points, i * points + points - 1) for i in range(3000 // points)]
+        assert {(b["min_parameter_id"], b["max_parameter_id"]) for b in blocks} == {(0, 2)} and all(b["bytes"] > 0 for b in blocks)
+        assert sorted(tuple(r) for r in store.blocks().select("run_id", "block", "point_count").collect()) == [*((1, i, points) for i in range(3000 // points)), (2, 0, 1)]
+    assert calls[10] < calls[1000] + 50, calls
+
+
 def test_contract():
     import __spark_entry__ as e
 
